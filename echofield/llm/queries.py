@@ -6,17 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
+from . import mixing, packing, passages, simhash
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage's place is in words, its end exclusive."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "_mix.*")
 
@@ -25,7 +30,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_passages, op5_mixing, op10_packing)}
 
 ORACLES = {
     "op5_mixing": r"""
