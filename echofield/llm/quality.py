@@ -17,7 +17,7 @@ from .common import cut, first_by_hash
 #: Rows to grow the forest on, its trees, and rows of each tree. The fit is on this bounded sample of labelled rows.
 SAMPLE, TREES, ROWS = 4096, 128, 128
 #: A good document that is dropped counts as so many bad ones that are kept.
-GOOD_COST = 10
+GOOD_COST = 25
 #: Steps of the score between which the threshold lies.
 BINS = 2000
 
