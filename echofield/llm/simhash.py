@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
@@ -74,13 +75,29 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents' columns, then fp (the fingerprint as a long) and component_id (the smallest doc_id reachable).
+    """One row a document: doc_id, fp (the fingerprint as a long) and component_id (the smallest doc_id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat, or share an id, are rows like any
-    other. A component whose ids are all null has a null component_id. An empty table gives an empty result.
+    other. A component whose ids are all null has a null component_id. An empty table gives an empty result. Only doc_id and
+    text are read, so other columns cannot clash.
     """
-    marked = cut(documents.withColumn("fp", fingerprints("text")))
-    return marked.join(component_of(marked), "fp", "left").select(*[marked[c] for c in documents.columns], "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    marked = cut(documents.select("doc_id", fingerprints("text").alias("fp")))
+    return marked.join(component_of(marked), "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents less near copies: of each component the row with the smallest id stays, rows without an id only where a
+    component has no other. Columns of the input."""
+    rows = documents.withColumn("_fp", fingerprints("text"))
+    marked = cut(rows.select("doc_id", F.col("_fp").alias("fp")))
+    several = component_of(marked)
+    members = marked.distinct().join(several, "fp").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull())
+    gone = cut(members.where("doc_id IS NOT NULL OR component_id IS NOT NULL").select(F.col("fp").alias("_gone_fp"), F.col("doc_id").alias("_gone_id")).distinct())
+    kept = rows.join(gone, (F.col("_fp") == F.col("_gone_fp")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    # Rows that are left with the id of their component's first row: one of them stays.
+    place = W.partitionBy("doc_id", "_fp").orderBy("text")
+    single = kept.withColumn("_place", F.row_number().over(place)).where("_place = 1")
+    return single.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def component_of(marked: DataFrame) -> DataFrame:
