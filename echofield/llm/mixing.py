@@ -50,25 +50,24 @@ def mix(documents: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
 
     Null text counts as no words; a null source is a source of its own, ordered last. Documents that tie in key are repeats
     of one another (same id, same text), so their order does not matter. An empty table gives an empty result; a source
-    without words has target 0. Other columns pass through whatever their names.
+    without words has target 0. Other columns pass through whatever their names, unless those begin with _mix.
     """
-    kept = [F.col(f"`{c}`") for c in documents.columns]
-    given = F.struct(*kept).alias("_row")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
     skey = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    keyed = documents.select(given, word_count(F.col("text")).alias("size"), skey.alias("skey"), key.alias("key")).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    ranges = cut(keyed.groupBy("skey", "range").agg(F.sum("size").alias("range_size")))
+    keyed = documents.withColumns({"_mix_size": word_count(F.col("text")), "_mix_skey": skey, "_mix_key": key}).withColumn("_mix_range", F.substring("_mix_key", 1, RANGE_DIGITS))
+    ranges = cut(keyed.groupBy(F.col("_mix_skey").alias("skey"), F.col("_mix_range").alias("range")).agg(F.sum("_mix_size").alias("range_size")))
     source = targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), most)
     ahead = F.sum("range_size").over(W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    offsets = cut(ranges.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(source, "skey").select("skey", "range", "ahead", "source_size", "target"))
-    inside = W.partitionBy("skey", "range").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = keyed.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["skey", "range"])
-    budget = F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(0)
-    rest = budget - F.col("epochs") * F.col("source_size")
-    start = F.col("ahead") + F.col("upto") - F.col("size")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start))
-    return summed.withColumn("epochs", epochs).select("_row.*", F.struct("size", "source_size", "target", taken.alias("taken")).alias("_mix"))
+    offsets = cut(ranges.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(source, "skey").select(*[F.col(c).alias(f"_mix_{c}") for c in ("skey", "range", "ahead", "source_size", "target")]))
+    inside = W.partitionBy("_mix_skey", "_mix_range").orderBy("_mix_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = keyed.withColumn("_mix_upto", F.sum("_mix_size").over(inside)).join(offsets, ["_mix_skey", "_mix_range"])
+    size, all_of_it = F.col("_mix_size"), F.col("_mix_source_size")
+    budget = F.floor("_mix_target").cast("long")
+    epochs = F.when(all_of_it > 0, F.floor(budget / all_of_it).cast("long")).otherwise(0)
+    start = F.col("_mix_ahead") + F.col("_mix_upto") - size
+    taken = F.col("_mix_epochs") * size + F.greatest(F.lit(0).cast("long"), F.least(size, budget - F.col("_mix_epochs") * all_of_it - start))
+    found = F.struct(size.alias("size"), all_of_it.alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken")).alias("_mix")
+    return summed.withColumn("_mix_epochs", epochs).select(*[F.col(f"`{c}`") for c in documents.columns], found)
 
 
 def mixed_documents(documents: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
