@@ -106,20 +106,21 @@ def smooth_distance(state: dict, value: float, alpha: float, max_jump: float) ->
     return value, True
 
 
+def wrapped(degrees: float) -> float:
+    """An angle within 180 degrees of zero, by whole turns."""
+    return degrees - 360 * math.ceil((degrees - 180) / 360) if degrees > 180 else degrees + 360 * math.ceil((-180 - degrees) / 360) if degrees < -180 else degrees
+
+
 def smooth_angle(state: dict, value: float, alpha: float, max_jump: float, wrap: bool) -> tuple[float, bool]:
     """Exponential smoothing; a jump gives the last value again, which stays valid. The flag tells of the jump."""
     last = state.get("last")
     if last is None:
         state["last"] = value
         return value, False
-    turn = value - last
-    if wrap:
-        turn = (turn + 180) % 360 - 180 if not -180 <= turn <= 180 else turn
+    turn = wrapped(value - last) if wrap else value - last
     if max_jump > 0 and abs(turn) > max_jump:
         return last, True
-    value = last + alpha * turn
-    if wrap and not -180 <= value <= 180:
-        value = (value + 180) % 360 - 180
+    value = wrapped(last + alpha * turn) if wrap else last + alpha * turn
     state["last"] = value
     return value, False
 
