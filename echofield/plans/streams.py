@@ -66,14 +66,14 @@ _NEXT = f"t.last + 0.1::DOUBLE * ({_WRAP})"
 _NEXTW = f"CASE WHEN {_NEXT} > 180 THEN {_NEXT} - 360 WHEN {_NEXT} < -180 THEN {_NEXT} + 360 ELSE {_NEXT} END"
 
 
-@query(f"""WITH RECURSIVE {MEAS}, num AS (SELECT stream, seq, CAST((seq * 37) % 360 AS DOUBLE) - 180 AS a, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n FROM meas), t AS (
+@query(f"""WITH RECURSIVE {MEAS}, num AS (SELECT stream, seq, (CAST((seq * 37) % 360 AS DOUBLE) - 180) * 0.987654321::DOUBLE AS a, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n FROM meas), t AS (
   SELECT stream, n, seq, a AS smoothed, false AS held, a AS last FROM num WHERE n = 1
   UNION ALL
   SELECT d.stream, d.n, d.seq, CASE WHEN abs({_WRAP}) > 90 THEN t.last ELSE {_NEXTW} END, abs({_WRAP}) > 90, CASE WHEN abs({_WRAP}) > 90 THEN t.last ELSE {_NEXTW} END
   FROM t JOIN num d ON d.stream = t.stream AND d.n = t.n + 1)
 SELECT stream, seq, round(smoothed, 6) AS smoothed, held FROM t""")
 def angle_hold_filter(spark, sf_dir):
-    a = meas(spark, sf_dir).withColumn("a", (F.col("seq") * 37 % 360).cast("double") - 180)
+    a = meas(spark, sf_dir).withColumn("a", ((F.col("seq") * 37 % 360).cast("double") - 180) * C.d(0.987654321))
     return rounded(ordered.angle_holds(a, "a", 0.1, 90.0), "smoothed")
 
 
