@@ -65,7 +65,7 @@ class WordIds(dict):
         text = word.decode()
         if text.isascii() and text.isalpha():
             ids = array("I", [x.id for x in self.model.tokenize(text.lower())]).tobytes()
-        elif (m := self.MARKED.fullmatch(text)) and max(m[1]) < "\u0250":
+        elif (m := self.MARKED.fullmatch(text)) and max(m[1]) < "\u0250" and "\u0130" not in text:
             ids = self[m[1].encode()] + self[m[2].encode()]
         elif text.isalpha() and max(text) < "\u0250" and "\u0130" not in text and is_normalized("NFC", text):
             ids = array("I", [x.id for x in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
@@ -95,7 +95,8 @@ def parts(text: bytes, most: int = PART_BYTES) -> Iterator[bytes]:
         end = space.start() if space else len(text)
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text) or not text:
+        yield text[at:]
 
 
 #: A full stop or comma that follows another mark belongs to that mark's piece.

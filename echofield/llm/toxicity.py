@@ -125,7 +125,7 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, later: int = 120
 
     for epoch in range(rounds + later):
         if epoch >= rounds and (epoch - rounds) % 10 == 0:
-            scorer = np.concatenate([means(rows)[0] @ (softmax[:, 1] - softmax[:, 0]) for rows in np.array_split(np.arange(len(owner)), max(1, len(owner) // 4000))])
+            scorer = np.concatenate([means(rows)[0] @ (softmax[:, 1] - softmax[:, 0]) for rows in np.array_split(np.arange(len(owner)), max(1, len(owner) // 500))])
             order = np.lexsort((-scorer, owner))
             worst = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
             picked = np.concatenate([worst[labels[owner[worst]] == 1], np.flatnonzero(labels[owner] == 0)])
