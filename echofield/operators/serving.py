@@ -100,3 +100,28 @@ def path_summary(rows: DataFrame, whole: float, share: float = 0.7) -> DataFrame
     """Points, span, ends and whether a path covers enough of the whole."""
     per = rows.groupBy("stream").agg(F.count("*").alias("n"), (F.max("v") - F.min("v")).alias("span"), F.min_by("v", "seq").alias("first_v"), F.max_by("v", "seq").alias("last_v"))
     return per.withColumn("complete", F.col("span") >= d(share) * d(whole)).withColumns({c: F.round(c, 6) for c in ("span", "first_v", "last_v")})
+
+
+#: What the display says for a quality.
+QUALITY_TEXT = {"OK": "正常", "DEGRADED": "降级", "INVALID": "无效", "LOST": "离线", "good": "正常", "degraded": "降级", "lost": "离线", "none": "无数据"}
+
+
+def quality_text(quality: Column) -> Column:
+    """The display's word; an unknown quality is shown as it is, a missing one as lost."""
+    table = F.create_map(*[F.lit(x) for pair in QUALITY_TEXT.items() for x in pair])
+    return F.coalesce(table[quality], quality, F.lit(QUALITY_TEXT["lost"]))
+
+
+def record(points: DataFrame, path: str, stamp_ns: str = "stamp_ns", by: str = "sensor") -> None:
+    """Writes points as Parquet, a folder for each sensor and hour; a sensor's hour is split over files by frame."""
+    hours = points.withColumn("hour", F.floor(F.col(stamp_ns) / 3_600_000_000_000))
+    hours.write.mode("append").partitionBy(by, "hour").option("maxRecordsPerFile", 5_000_000).parquet(path)
+
+
+def drop_counters(rows: DataFrame, reason: str = "drop_reason", name: str = "drops") -> tuple[DataFrame, object]:
+    """The rows, and an observation that counts them by the checks they failed while something else reads them."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    counts = [F.count_if(F.col(reason) == r).alias(r) for r in ("zero_stamp", "empty_frame_id", "empty", "min_points", "missing_field", "none")]
+    return rows.observe(seen, F.count("*").alias("all"), *counts), seen

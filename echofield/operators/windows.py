@@ -103,3 +103,48 @@ SCAN_RING = {64: 57, 32: 23, 16: 8}
 
 def scan_ring(n_rings: Column) -> Column:
     return F.when(n_rings > 32, SCAN_RING[64]).when(n_rings > 16, SCAN_RING[32]).otherwise(SCAN_RING[16])
+
+
+def trimmed_blocks(blocks: DataFrame, jump: int = 1000, by: tuple[str, ...] = ("sensor", "scan_id"), packet: str = "seq", order: str = "block", azimuth: str = "azimuth") -> DataFrame:
+    """A scan without its neighbours' blocks: its first packet starts after its last jump where it starts past 100 degrees, and
+    its last packet ends at its last jump."""
+    inside = W.partitionBy(*by, packet).orderBy(order)
+    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    scan = W.partitionBy(*by)
+    marked = blocks.withColumn("_jump", F.when(F.abs(F.col(azimuth) - F.lag(azimuth).over(inside)) > jump, F.col(order)))
+    marked = marked.withColumns({"_cut": F.max("_jump").over(whole), "_from": F.first(azimuth).over(whole), "_first": F.min(packet).over(scan), "_last": F.max(packet).over(scan)})
+    head = (F.col(packet) != F.col("_first")) | F.col("_cut").isNull() | (F.col("_from") < 10_000) | (F.col(order) >= F.col("_cut"))
+    tail = (F.col(packet) != F.col("_last")) | (F.col("_first") == F.col("_last")) | F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))
+    return marked.where(head & tail).drop("_jump", "_cut", "_from", "_first", "_last")
+
+
+def packet_stamp(begin: Column, end: Column, offset: float, gps: Column | None = None, has_gps: Column | None = None) -> Column:
+    """The middle of the read, moved by an offset; GPS time where there is one."""
+    middle = (begin + end) / 2 + d(offset)
+    return F.when(has_gps, gps).otherwise(middle) if gps is not None else middle
+
+
+def seen_and_missed(rows: DataFrame, detected: str = "detected", by: str = "stream", order: str = "seq") -> DataFrame:
+    """Running counts of frames and of misses."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumns({"frames_seen": F.count("*").over(w), "frames_missed": F.sum((~F.col(detected)).cast("long")).over(w)})
+
+
+def age_flag(rows: DataFrame, tolerance: float, stamp: str = "stamp", now: str = "now") -> DataFrame:
+    """Marks old or empty clouds and drops none."""
+    return rows.withColumn("warns", (F.col(now) - F.col(stamp) > d(tolerance)) | (F.col("n") == 0))
+
+
+def rate_bounds(rows: DataFrame, ts: str, low: float, high: float, width: str, slide: str, seconds: float, tolerance: float = 0.1, by: str = "sensor") -> DataFrame:
+    """Rate of each key in sliding windows, and whether it is in bounds with a tolerance."""
+    per = rows.groupBy(by, F.window(ts, width, slide).alias("w")).agg(F.count("*").alias("n"))
+    rate = per.select(by, F.col("w.start").alias("start"), (F.col("n") / d(seconds)).alias("rate"))
+    return rate.withColumn("ok", (F.col("rate") >= d(low * (1 - tolerance))) & (F.col("rate") <= d(high * (1 + tolerance))))
+
+
+def snapshot_or_path(snapshots: DataFrame, paths: DataFrame, start_gap: float = 2.0, share: float = 0.7, by: str = "stream") -> DataFrame:
+    """The newest full path of each stream where it is complete, else the accumulated one. Complete: it starts close to the
+    accumulated path's start and spans enough of it. snapshots: by, stamp, start, span; paths: by, start, span."""
+    newest = snapshots.groupBy(by).agg(F.max_by(F.struct("stamp", "start", "span"), "stamp").alias("s"))
+    whole = (F.abs(F.col("s.start") - F.col("start")) <= d(start_gap)) & (F.col("s.span") >= d(share) * F.col("span"))
+    return paths.join(newest, by, "left").withColumn("kind", F.when(F.coalesce(whole, F.lit(False)), "full_snapshot").otherwise("odom_accumulated")).select(by, "kind", F.when(F.col("kind") == "full_snapshot", F.col("s.span")).otherwise(F.col("span")).alias("span"))

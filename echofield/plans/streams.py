@@ -287,7 +287,10 @@ def jump_downgrade(spark, sf_dir):
     return m.select("stream", "seq", s.alias("status"), r.alias("reason"))
 
 
-@query()
+@query(f"""WITH {MEAS}, p AS (SELECT CAST(stream % 3 AS VARCHAR) AS sensor, seq AS n FROM meas WHERE seq % 10 = 0),
+r AS (SELECT sensor, n, k, f, (n * 480 % 36000 + 40 * b) % 36000 AS rot, b, (n * 480 % 36000 + 40 * (b + 1)) % 36000 AS after FROM p, range(12) t(b), range(2) u(f), range(16) w(k)),
+a AS (SELECT sensor, k, CAST(floor(rot + 40 * ((k * 3.072::DOUBLE + f * 49.152::DOUBLE) / 98.304::DOUBLE) + 0.5::DOUBLE) AS INTEGER) % 36000 AS azimuth, (1000 + n % 3000) * 0.005::DOUBLE AS distance FROM r WHERE NOT (b = 0 AND after < rot))
+SELECT sensor, count(*) AS n, round(avg(distance), 6) AS distance, round(avg(distance * cos(radians(-15 + 2 * k)) * cos(radians(azimuth / 100::DOUBLE))), 6) AS x, max(azimuth) AS max_azimuth FROM a GROUP BY sensor""")
 def packet_decode(spark, sf_dir):
     """Packets made from events, decoded and projected through a calibration, by counts and sums of each sensor."""
     made = packets.synthetic(meas(spark, sf_dir).where("seq % 10 = 0").select((F.col("stream") % 3).cast("string").alias("sensor"), F.col("seq").alias("packet_no")))
@@ -306,3 +309,42 @@ def cloud_round_trip(spark, sf_dir):
     places = p.select("frame_no", "seq", (F.row_number().over(W.partitionBy("frame_no").orderBy("seq")) - 1).cast("long").alias("i"))
     back = serving.decode_clouds(serving.encode_clouds(p)).join(places, ["frame_no", "i"])
     return back.select("frame_no", "seq", F.round(F.col("x").cast("double"), 4).alias("x"), "class_id", "lidar_id")
+
+
+@query(f"WITH {MEAS} SELECT stream, seq, count(*) OVER w AS frames_seen, CAST(sum((kind = 'error')::INTEGER) OVER w AS BIGINT) AS frames_missed FROM meas WINDOW w AS (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def seen_missed(spark, sf_dir):
+    m = meas(spark, sf_dir).select("stream", "seq", (F.col("kind") != "error").alias("detected"))
+    return windows.seen_and_missed(m).select("stream", "seq", "frames_seen", "frames_missed")
+
+
+@query(f"WITH {MEAS} SELECT seq, CASE WHEN kind = 'click' THEN '正常' WHEN kind = 'view' THEN '降级' WHEN kind = 'error' THEN '离线' ELSE kind END AS text FROM meas")
+def quality_text(spark, sf_dir):
+    kind = F.col("kind")
+    return meas(spark, sf_dir).select("seq", serving.quality_text(F.when(kind == "click", "OK").when(kind == "view", "degraded").when(kind != "error", kind)).alias("text"))
+
+
+@query(f"""WITH {MEAS}, b AS (SELECT stream, seq // 40 AS scan_id, seq // 4 AS packet, CAST(seq % 4 AS INTEGER) AS block, CAST((seq * 700) % 36000 AS INTEGER) AS azimuth FROM (SELECT stream % 5 AS stream, seq FROM meas)),
+j AS (SELECT *, CASE WHEN abs(azimuth - lag(azimuth) OVER p) > 1000 THEN block END AS jump, first_value(azimuth) OVER p AS start FROM b WINDOW p AS (PARTITION BY stream, scan_id, packet ORDER BY block)),
+k AS (SELECT *, max(jump) OVER (PARTITION BY stream, scan_id, packet) AS cut, min(packet) OVER s AS lo, max(packet) OVER s AS hi FROM j WINDOW s AS (PARTITION BY stream, scan_id))
+SELECT stream, scan_id, packet, block FROM k WHERE NOT (packet = lo AND cut IS NOT NULL AND start >= 10000 AND block < cut) AND NOT (packet = hi AND lo <> hi AND cut IS NOT NULL AND block >= cut)""")
+def head_tail_trim(spark, sf_dir):
+    b = meas(spark, sf_dir).select((F.col("stream") % 5).alias("stream"), F.floor(F.col("seq") / 40).alias("scan_id"), F.floor(F.col("seq") / 4).alias("packet"), (F.col("seq") % 4).cast("int").alias("block"), (F.col("seq") * 700 % 36000).cast("int").alias("azimuth"))
+    return windows.trimmed_blocks(b, by=("stream", "scan_id"), packet="packet").select("stream", "scan_id", "packet", "block")
+
+
+@query(f"""WITH {MEAS}, s AS (SELECT stream, max(seq) AS stamp, arg_max(v, seq) AS start, max(v) AS span FROM meas WHERE kind = 'view' GROUP BY stream), p AS (SELECT stream, arg_min(v, seq) AS start, max(v) - min(v) AS span FROM meas GROUP BY stream)
+SELECT p.stream, CASE WHEN coalesce(abs(s.start - p.start) <= 20 AND s.span >= 0.7::DOUBLE * p.span, false) THEN 'full_snapshot' ELSE 'odom_accumulated' END AS kind, round(CASE WHEN coalesce(abs(s.start - p.start) <= 20 AND s.span >= 0.7::DOUBLE * p.span, false) THEN s.span ELSE p.span END, 6) AS span FROM p LEFT JOIN s USING (stream)""")
+def path_snapshot(spark, sf_dir):
+    m = meas(spark, sf_dir)
+    s = m.where("kind = 'view'").groupBy("stream").agg(F.max("seq").alias("stamp"), F.max_by("v", "seq").alias("start"), F.max("v").alias("span"))
+    p = m.groupBy("stream").agg(F.min_by("v", "seq").alias("start"), (F.max("v") - F.min("v")).alias("span"))
+    return rounded(windows.snapshot_or_path(s, p, 20.0), "span")
+
+
+@query(f"""WITH {MEAS}, w AS (SELECT stream, kind, epoch_us(date_trunc('day', make_timestamp(us))) AS d0 FROM meas), e AS (SELECT kind, unnest([d0, d0 - 86400000000]) AS start_us FROM w)
+SELECT kind, start_us, count(*) / 48::DOUBLE AS rate, count(*) / 48::DOUBLE BETWEEN 1.8::DOUBLE AND 3.3::DOUBLE AS ok FROM e GROUP BY ALL""")
+def frequency_monitor(spark, sf_dir):
+    """Rates per hour in two-day windows that slide by a day."""
+    m = meas(spark, sf_dir).select("kind", F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts"))
+    r = windows.rate_bounds(m, "ts", 2.0, 3.0, "2 days", "1 day", 48.0, by="kind")
+    return r.select("kind", C.micros(F.col("start")).alias("start_us"), "rate", "ok")
