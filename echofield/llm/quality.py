@@ -120,7 +120,8 @@ def measured(documents: DataFrame) -> DataFrame:
 def fit(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Grows the forest on at most `sample` labelled documents, those whose ids hash lowest."""
     ids = first_by_hash(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id").distinct(), sample, "doc_id")
-    rows = sorted(tuple(r) for r in counted.join(F.broadcast(ids), "doc_id").select(*STATISTICS, "doc_id").distinct().limit(2 * sample).collect())
+    found = counted.join(F.broadcast(ids), "doc_id").select(*STATISTICS, "doc_id").distinct()
+    rows = sorted(tuple(r) for r in first_by_hash(found, 2 * sample, "doc_id", *STATISTICS).collect())
     return Forest(features(dict(zip(STATISTICS, zip(*rows)))) if rows else np.empty((0, 7)))
 
 
