@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Equipment, Geometry
 from ..functions.columns import d, finite
-from .robust import ground_region, least_squares_plane, ransac_plane, side_clearance, wall_yaw
+from .robust import clearance, ground_region, in_ground, least_squares_plane, ransac_plane, station_aggregates, wall_aggregates, with_yaw
 
 STATIONS = ("left_front", "left_rear", "right_front", "right_rear")
 
@@ -26,15 +26,15 @@ def plane_of(ground: DataFrame, cfg: Geometry, robust: bool) -> DataFrame:
 
 
 def geometry(points: DataFrame, cfg: Geometry = Geometry(), robust: bool = True, frames: DataFrame | None = None) -> DataFrame:
-    """One row a frame: attitude, clearances, validity, reasons and overall status. Frames of `frames` without points stay."""
-    ground = ground_region(points, cfg)
-    counts = ground.groupBy("frame_no").agg(F.count("*").alias("in_ground"))
-    plane = plane_of(ground, cfg, robust)
-    sides = side_clearance(points, cfg).groupBy("frame_no").pivot("station", list(STATIONS)).agg(*[F.first(c).alias(c) for c in ("points", "mm", "valid", "reason")])
-    every = (frames if frames is not None else points).select("frame_no").distinct()
-    out = every.join(counts, "frame_no", "left").join(plane, "frame_no", "left").join(wall_yaw(points, cfg), "frame_no", "left").join(sides, "frame_no", "left")
+    """One row a frame: attitude, clearances, validity, reasons and overall status. Frames of `frames` without points stay.
+    All but the plane comes from one aggregation over the points."""
+    frame = points.groupBy("frame_no").agg(F.count_if(in_ground(cfg)).alias("in_ground"), *wall_aggregates(cfg), *station_aggregates(cfg))
+    sides = {s: clearance(F.coalesce(F.col(f"{s}_seen"), F.array().cast("array<double>")), cfg) for s in STATIONS}
+    seen = with_yaw(frame, cfg) if frames is None else frames.select("frame_no").distinct().join(with_yaw(frame, cfg), "frame_no", "left")
+    out = seen.join(plane_of(ground_region(points, cfg), cfg, robust), "frame_no", "left")
     false = F.lit(False)
-    out = out.withColumns({"in_ground": F.coalesce("in_ground", F.lit(0)), "wall_points": F.coalesce("wall_points", F.lit(0)), "plane": F.coalesce("valid", false), **{f"{s}_{c}": F.coalesce(F.col(f"{s}_{c}"), x) for s in STATIONS for c, x in (("points", F.lit(0)), ("mm", d(0)), ("valid", false), ("reason", F.lit("LOW_DISTANCE_POINTS")))}})
+    out = out.withColumns({"in_ground": F.coalesce("in_ground", F.lit(0)), "wall_points": F.coalesce("wall_points", F.lit(0)), "plane": F.coalesce("valid", false), **{f"_{s}": c for s, c in sides.items()}})
+    out = out.withColumns({f"{s}_{c}": F.col(f"_{s}.{c}") for s in STATIONS for c in ("points", "mm", "valid", "reason")})
     enough = F.col("in_ground") >= cfg.min_ground
     why_ground = ground_reason(enough, F.coalesce("inliers", F.lit(0)), F.col("rmse"), F.col("normal_z"), cfg)
     yaw = F.coalesce(finite(F.col("yaw_deg")) & F.col("consistent"), false)

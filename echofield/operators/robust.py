@@ -87,16 +87,24 @@ def ransac_plane(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame
     return points.select(by, "x", "y", "z").groupBy(by).applyInArrow(run, f"{by} {kind}, a double, b double, c double, inliers long, rmse double, normal_z double, valid boolean")
 
 
+def in_ground(cfg: Geometry) -> Column:
+    return finite(F.col("x"), F.col("y"), F.col("z")) & within(F.col("x"), cfg.ground_x) & within(F.col("y"), cfg.ground_y) & within(F.col("z"), cfg.ground_z)
+
+
 def ground_region(points: DataFrame, cfg: Geometry) -> DataFrame:
-    return points.where(finite(F.col("x"), F.col("y"), F.col("z")) & within(F.col("x"), cfg.ground_x) & within(F.col("y"), cfg.ground_y) & within(F.col("z"), cfg.ground_z))
+    return points.where(in_ground(cfg))
 
 
-def wall_yaw(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame_no") -> DataFrame:
-    """wall_points, left_x .. right_y, directions, diff_deg, consistent and yaw_deg of each frame; both walls apart."""
+def wall_aggregates(cfg: Geometry) -> list[Column]:
+    """wall_points and the direction of each wall, both walls apart."""
     wall = finite(F.col("x"), F.col("y"), F.col("z")) & within(F.col("x"), cfg.wall_x) & within(F.abs(F.col("y")), cfg.wall_y_abs) & within(F.col("z"), cfg.wall_z)
     lx, ly = principal_direction(F.col("x"), F.col("y"), wall & (F.col("y") >= 0), max(2, cfg.min_wall))
     rx, ry = principal_direction(F.col("x"), F.col("y"), wall & (F.col("y") < 0), max(2, cfg.min_wall))
-    sides = points.groupBy(by).agg(F.count_if(wall).alias("wall_points"), lx.alias("left_x"), ly.alias("left_y"), rx.alias("right_x"), ry.alias("right_y"))
+    return [F.count_if(wall).alias("wall_points"), lx.alias("left_x"), ly.alias("left_y"), rx.alias("right_x"), ry.alias("right_y")]
+
+
+def with_yaw(sides: DataFrame, cfg: Geometry) -> DataFrame:
+    """directions, diff_deg, consistent and yaw_deg beside the walls' directions."""
     dot = F.greatest(d(-1), F.least(d(1), F.col("left_x") * F.col("right_x") + F.col("left_y") * F.col("right_y")))
     both = F.col("left_x").isNotNull() & F.col("right_x").isNotNull()
     zero = d(0)
@@ -106,20 +114,36 @@ def wall_yaw(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame_no"
     return out.withColumn("yaw_deg", F.when((F.col("directions") > 0) & (norm(sx, sy) > d(1e-6)), F.degrees(F.atan2(sy, sx))))
 
 
-def side_clearance(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame_no") -> DataFrame:
-    """One row for each frame and station: points, clearance_m, mm, valid, reason. A point can serve both stations of a side,
-    so each is exploded to the stations whose window it lies in; no join is needed for four of them."""
+def wall_yaw(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame_no") -> DataFrame:
+    return with_yaw(points.groupBy(by).agg(*wall_aggregates(cfg)), cfg)
+
+
+def at_station(cfg: Geometry, x: float, side: int) -> Column:
     half = max(0.01, cfg.window_m * 0.5)
-    hit = F.array(*[F.when((F.abs(F.col("x") - d(x)) <= d(half)) & within(F.col("z"), cfg.side_z) & within(d(side) * F.col("y"), cfg.side_y_abs), F.struct(F.lit(name).alias("station"), (d(side) * F.col("y")).alias("y"))) for name, x, side in cfg.stations])
-    near = points.where(finite(F.col("x"), F.col("y"), F.col("z"))).select(by, F.explode(F.filter(hit, lambda h: h.isNotNull())).alias("h"))
-    counted = near.groupBy(by, "h.station").agg(F.count("*").alias("points"), lower_percentile(F.col("h.y"), cfg.percentile).alias("wall"))
-    stations = points.select(by).distinct().select(by, F.explode(F.array(*[F.lit(n) for n, _, _ in cfg.stations])).alias("station"))
-    enough = F.col("points") >= cfg.min_distance
-    out = stations.join(counted, [by, "station"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
-    clear = out.withColumn("clearance_m", F.when(enough, F.col("wall") - d(max(0.0, cfg.half_width_m))).otherwise(d(0)))
-    valid = enough & (F.col("clearance_m") >= d(cfg.min_clearance_m))
+    return finite(F.col("x"), F.col("y"), F.col("z")) & (F.abs(F.col("x") - d(x)) <= d(half)) & within(F.col("z"), cfg.side_z) & within(d(side) * F.col("y"), cfg.side_y_abs)
+
+
+def station_aggregates(cfg: Geometry) -> list[Column]:
+    """The sorted side distances at each station, of one frame."""
+    return [F.array_sort(F.collect_list(F.when(at_station(cfg, x, side), d(side) * F.col("y")))).alias(f"{name}_seen") for name, x, side in cfg.stations]
+
+
+def clearance(seen: Column, cfg: Geometry) -> Column:
+    """points, clearance_m, mm, valid and reason from the sorted distances at a station."""
+    n = F.size(seen)
+    enough = n >= cfg.min_distance
+    wall = F.get(seen, F.floor(d(cfg.percentile) * (n - 1)).cast("int"))
+    clear = F.when(enough, wall - d(max(0.0, cfg.half_width_m))).otherwise(d(0))
+    valid = enough & (clear >= d(cfg.min_clearance_m))
     reason = F.when(~enough, "LOW_DISTANCE_POINTS").when(~valid, "CLEARANCE_INVALID").otherwise("none")
-    return clear.select(by, "station", "points", "clearance_m", (F.col("clearance_m") * d(1000)).alias("mm"), valid.alias("valid"), reason.alias("reason"))
+    return F.struct(n.alias("points"), clear.alias("clearance_m"), (clear * d(1000)).alias("mm"), valid.alias("valid"), reason.alias("reason"))
+
+
+def side_clearance(points: DataFrame, cfg: Geometry = Geometry(), by: str = "frame_no") -> DataFrame:
+    """One row for each frame and station. The four stations are conditions in one aggregation, so no join is needed."""
+    seen = points.groupBy(by).agg(*station_aggregates(cfg))
+    each = F.array(*[F.struct(F.lit(name).alias("station"), clearance(F.col(f"{name}_seen"), cfg).alias("c")) for name, _, _ in cfg.stations])
+    return seen.select(by, F.explode(each).alias("s")).select(by, "s.station", "s.c.*")
 
 
 def target_centre(points: DataFrame, cfg: Target = Target(), by: str = "frame_no") -> DataFrame:

@@ -207,3 +207,36 @@ def test_config():
     assert Fusion(slop_s=-1).slop_s == 0.05 and Geometry(percentile=7).percentile == 1.0
     assert resolve("tracker.hold", {"hold": 3}, {"tracker": {"hold": 4}}) == 3 and resolve("x.y", {}, default=5) == 5
     assert PRESETS["runtime"][1].hold == 0 and Target().mean_radius == pytest.approx(0.125)
+
+
+def test_frames_without_points_stay(spark):
+    from echofield.config import Equipment
+
+    frames = spark.createDataFrame([(0,), (1,)], "frame_no long")
+    states = equipment.geometry(frame(spark, patch(2, 1.3)), Geometry(min_distance=3), frames=frames)
+    inputs = spark.createDataFrame([(0, 500, 0.1, ""), (1, 0, 0.1, "")], "frame_no long, n long, age_s double, failure string")
+    got = {r["frame_no"]: r for r in equipment.with_input(states, inputs, Equipment()).collect()}
+    assert got[0]["status"] == "DEGRADED" and got[0]["left_front_valid"]
+    assert got[1]["status"] == "LOST" and got[1]["reason"] == "NO_POINTCLOUD" and not got[1]["attitude_valid"] and got[1]["left_front_reason"] == "NO_POINTCLOUD"
+
+
+def test_counters_and_recording(spark, tmp_path):
+    rows = spark.createDataFrame([("none",), ("empty",), ("empty",)], "drop_reason string")
+    counted, seen = serving.drop_counters(rows)
+    assert counted.count() == 3 and seen.get["empty"] == 2 and seen.get["all"] == 3
+    p = spark.createDataFrame([("a", 0, 1.0), ("b", 3_700_000_000_000, 2.0)], "sensor string, stamp_ns long, x double")
+    serving.record(p, str(tmp_path / "points"))
+    assert {(r["sensor"], r["hour"]) for r in spark.read.parquet(str(tmp_path / "points")).collect()} == {("a", 0), ("b", 1)}
+
+
+def test_stamps(spark):
+    r = spark.range(1).select(windows.packet_stamp(C.d(1), C.d(3), 0.5).alias("a"), windows.packet_stamp(C.d(1), C.d(3), 0.5, C.d(9), F.lit(True)).alias("b")).first()
+    assert (r["a"], r["b"]) == (2.5, 9.0)
+    old = spark.createDataFrame([(1.0, 2.0, 5), (1.0, 9.0, 5), (8.9, 9.0, 0)], "stamp double, now double, n int")
+    assert [r["warns"] for r in windows.age_flag(old, 2.0).collect()] == [False, True, True]
+
+
+def test_vertical_angles():
+    status = bytearray(1206)
+    status[834:898] = np.array([*range(-15, 0), 99], dtype="<f4").tobytes()
+    assert packets.vertical_angles(bytes(status), tuple(float(i) for i in range(16))) == [*map(float, range(-15, 0)), 15.0]
