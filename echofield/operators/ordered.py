@@ -194,5 +194,32 @@ def trails(rows: DataFrame, cfg: Path = Path(), by: str = "stream", order: tuple
     return fold(rows, by, order, Trail, lambda s, r: trail(s, r, cfg), "segment int, reset_reason string, kept boolean", ("source", "frame_id", "stamp", "x", "y", "z"))
 
 
+def synchronise(state: dict, row: dict, sensors: tuple[str, ...], slop: float, queue: int = 20) -> tuple | None:
+    """Clouds in order of arrival, into groups of one from each sensor whose stamps span at most slop. Each sensor has a queue;
+    heads that the latest head has left behind are dropped, as are clouds beyond the queue's length. Gives a group's stamp,
+    span and sequence numbers."""
+    line = state.setdefault(row["sensor"], [])
+    line.append((row["stamp"], row["seq"]))
+    line.sort()
+    if len(line) > queue:
+        line.pop(0)
+    while all(state.get(s) for s in sensors):
+        heads = [state[s][0] for s in sensors]
+        latest, first = max(heads)[0], min(heads)[0]
+        if latest - first <= slop:
+            for s in sensors:
+                state[s].pop(0)
+            return first, latest - first, [n for _, n in heads]
+        for s in sensors:
+            while state[s] and state[s][0][0] < latest - slop:
+                state[s].pop(0)
+    return None
+
+
+def synchronised(clouds: DataFrame, sensors: tuple[str, ...], slop: float, queue: int = 20, by: str = "stream", order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+    """Groups in order of arrival: by, order of the completing cloud, stamp, span, seqs (one a sensor)."""
+    return fold(clouds, by, order, dict, lambda s, r: synchronise(s, r, sensors, slop, queue), "group_stamp double, span double, seqs array<long>", ("sensor", "seq", "stamp"))
+
+
 def dump(state: object) -> dict:
     return asdict(state) if hasattr(state, "__dataclass_fields__") else dict(state)

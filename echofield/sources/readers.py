@@ -33,9 +33,12 @@ def datagrams(capture: bytes, port: int, source: str | None = None) -> Iterator[
             yield seconds * 1_000_000_000 + fraction * unit, frame[HEADERS:]
 
 
-def captured_packets(spark: SparkSession, path: str, port: int, sensor: str, source: str | None = None) -> DataFrame:
-    """(sensor, file, packet_no, stamp_ns, data) of the capture files under a path. Spark reads the files, a task one at a time;
-    packets are numbered in a file's order."""
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def packets_of(files: DataFrame, port: int, sensor: str, source: str | None = None) -> DataFrame:
+    """(sensor, file, packet_no, stamp_ns, data) of capture files (path, content), a task one at a time; packets are numbered in
+    a file's order."""
     schema = pa.schema([("sensor", pa.string()), ("file", pa.string()), ("packet_no", pa.int64()), ("stamp_ns", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,10 +49,19 @@ def captured_packets(spark: SparkSession, path: str, port: int, sensor: str, sou
                     part = rows[a : a + 5000]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([sensor] * len(part), [file] * len(part), range(a, a + len(part)), [s for s, _ in part], [d for _, d in part]), schema.types)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(run, "sensor string, file string, packet_no long, stamp_ns long, data binary")
 
 
+def captured_packets(spark: SparkSession, path: str, port: int, sensor: str, source: str | None = None) -> DataFrame:
+    """The packets of the capture files under a path."""
+    return packets_of(spark.read.format("binaryFile").load(path), port, sensor, source)
+
+
+def captured_stream(spark: SparkSession, path: str, port: int, sensor: str, source: str | None = None, files_a_trigger: int = 8) -> DataFrame:
+    """The packets of capture files as they arrive in a folder."""
+    return packets_of(spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_trigger).load(path), port, sensor, source)
+
+
 def calibration(spark: SparkSession, path: str, sensor: str) -> DataFrame:
     """schemas.CALIBRATION from a YAML file: lasers, with defaults for the keys that may be missing, and rings by angle."""
     import yaml

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Tracker
-from ..operators.ordered import Track, smooth_distance, track
+from ..operators.ordered import Track, smooth_distance, synchronise, track
 
 
 def fold(stream: DataFrame, by: str, order: tuple[str, ...], start: Callable[[], object], step: Callable[[object, dict], tuple | None], schema: str, timeout_ms: int | None = None) -> DataFrame:
@@ -48,6 +48,11 @@ def ema_jumps(stream: DataFrame, value: str, alpha: float, max_jump: float, by:
     return fold(stream, by, order, dict, lambda s, r: smooth_distance(s, r[value], alpha, max_jump), "smoothed double, valid boolean")
 
 
+def synchronised(stream: DataFrame, sensors: tuple[str, ...], slop: float, queue: int = 20, by: str = "stream", order: tuple[str, ...] = ("arrival",)) -> DataFrame:
+    """Groups of one cloud from each sensor as they complete."""
+    return fold(stream, by, order, dict, lambda s, r: synchronise(s, r, sensors, slop, queue), "group_stamp double, span double, seqs array<long>")
+
+
 def rates(stream: DataFrame, ts: str, width: str = "10 seconds", late: str = "5 seconds", by: str = "sensor") -> DataFrame:
     """Rows of each key and window; rows that come later than the watermark are dropped."""
     return stream.withWatermark(ts, late).groupBy(by, F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")

@@ -89,3 +89,24 @@ def test_sensor_points(spark):
     raw = spark.createDataFrame([("0", i, packets.packet(480 * i, 40, 2000)) for i in range(3)], "sensor string, packet_no long, data binary")
     got = flow.sensor_points(raw, packets.example_calibration(spark), 0.5, 100.0)
     assert got.groupBy("ring").count().where("count = 69").count() == 16
+
+
+def test_arrival_synchroniser(spark, tmp_path):
+    rows = sorted((t, s, i) for s, ts in (("A", (0.0, 0.1)), ("B", (0.02, 0.11)), ("C", (0.04, 0.2))) for i, t in enumerate(ts))
+    schema = "stream int, arrival long, sensor string, seq long, stamp double"
+    data = spark.createDataFrame([(0, k, s, i, t) for k, (t, s, i) in enumerate(rows)], schema)
+    got = ordered.synchronised(data, ("A", "B", "C"), 0.05).collect()
+    assert [(r["group_stamp"], r["seqs"]) for r in got] == [(0.0, [0, 0, 0])]
+    data.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = folds.synchronised(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ("A", "B", "C"), 0.05).writeStream.format("memory").queryName("groups").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r["seqs"] for r in spark.table("groups").collect()] == [[0, 0, 0]]
+
+
+def test_streams_of_captures_and_rates(spark, tmp_path):
+    (tmp_path / "caps").mkdir()
+    (tmp_path / "caps" / "a.pcap").write_bytes(capture([packets.packet(0, 40, 2000)] * 3))
+    s = readers.captured_stream(spark, str(tmp_path / "caps"), 2368, "0").withColumn("ts", F.timestamp_seconds(F.col("stamp_ns") / 1e9))
+    query = folds.rates(s, "ts").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [r["n"] for r in spark.table("rates").collect()] == [3]
