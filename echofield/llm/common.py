@@ -23,6 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and go on from there, so that a lost executor costs one step at most."""
     shared_folder(frame.sparkSession)
