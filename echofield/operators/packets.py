@@ -167,3 +167,24 @@ def vertical_angles(status: bytes, factory: tuple[float, ...], low: float = -16.
     """Sixteen little-endian floats at byte 834 of a status packet; one out of range is replaced by the factory's."""
     found = np.frombuffer(status, dtype="<f4", count=LASERS, offset=834)
     return [float(x) if low <= x <= high else factory[i] for i, x in enumerate(found)]
+
+
+def recalibrated(calibration: DataFrame, statuses: DataFrame) -> DataFrame:
+    """A calibration with the vertical angles that its sensor's latest status reports, in degrees; rings stay what they were.
+    statuses: sensor, stamp_ns, angles array<float>."""
+    newest = statuses.groupBy("sensor").agg(F.max_by("angles", "stamp_ns").alias("angles"))
+    angle = F.radians(F.get("angles", F.col("laser_id")))
+    return calibration.join(newest, "sensor", "left").withColumn("vert_correction", F.coalesce(angle.cast("double"), F.col("vert_correction"))).select(*calibration.columns)
+
+
+def grid(points: DataFrame) -> DataFrame:
+    """Places of an organised cloud: a row a firing, a column a laser, in order of the packets."""
+    from pyspark.sql import Window as W
+
+    n = F.dense_rank().over(W.partitionBy("sensor").orderBy("packet_no")) - 1
+    return points.withColumns({"row": (n * BLOCKS + F.col("block")) * FIRINGS + F.col("firing"), "col": F.col("laser_id")})
+
+
+def transposed(points: DataFrame) -> DataFrame:
+    """An organised cloud with rows and columns exchanged."""
+    return points.withColumns({"row": F.col("col"), "col": F.col("row")})

@@ -111,3 +111,46 @@ def frames(points: DataFrame, least: int = 5, finite_only: bool = True, by: tupl
     """Decoded frames: points without finite coordinates dropped on demand, and frames of under `least` points."""
     kept = points.where(finite(F.col("x"), F.col("y"), F.col("z"))) if finite_only else points
     return kept.join(kept.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*by), list(by), "left_semi")
+
+
+# An inertial message's diagonal covariances, and the mark of an orientation that is not measured.
+ACCELERATION_VARIANCE, TURN_VARIANCE, NO_ORIENTATION = 0.01, 0.0001, -1.0
+
+
+def inertial(samples: DataFrame) -> DataFrame:
+    """Inertial messages from (sensor, stamp_ns, accel_x .. gyro_z, temperature): the temperature rides in orientation_x, and
+    the orientation is marked as not measured."""
+    accel, gyro = ([F.col(f"{kind}_{c}").cast("double").alias(f"{name}_{c}") for c in "xyz"] for kind, name in (("accel", "linear_acceleration"), ("gyro", "angular_velocity")))
+    fixed = {"acceleration_variance": ACCELERATION_VARIANCE, "turn_variance": TURN_VARIANCE, "orientation_covariance_0": NO_ORIENTATION}
+    return samples.select("sensor", "stamp_ns", F.col("temperature").cast("double").alias("orientation_x"), *accel, *gyro, *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+#: The calibration archive's tags, our columns, and what turns the one's unit into the other's.
+XML_FIELDS = {
+    "rotCorrection_": ("rot_correction", "degrees"), "vertCorrection_": ("vert_correction", "degrees"), "distCorrection_": ("dist_correction", "cm"), "distCorrectionX_": ("dist_correction_x", "cm"), "distCorrectionY_": ("dist_correction_y", "cm"),
+    "vertOffsetCorrection_": ("vert_offset_correction", "cm"), "horizOffsetCorrection_": ("horiz_offset_correction", "cm"), "focalDistance_": ("focal_distance", "cm"), "focalSlope_": ("focal_slope", ""),
+}
+
+
+def calibration_from_xml(spark: SparkSession, text: str, sensor: str) -> DataFrame:
+    """schemas.CALIBRATION of the enabled lasers of a calibration archive: angles to radians, centimetres to metres, limits of
+    intensity where they are given, rings by angle."""
+    from math import radians
+    from xml.etree import ElementTree
+
+    from ..operators.windows import rings
+
+    root = ElementTree.fromstring(text)
+    items = lambda tag: [int(e.text) for e in root.findall(f"DB/{tag}/item")]
+    enabled, low, high = items("enabled_"), items("minIntensity_"), items("maxIntensity_")
+    units = {"degrees": radians, "cm": lambda v: v * 0.01, "": lambda v: v}
+    rows = []
+    for point in root.findall("DB/points_/item/px"):
+        laser = int(point.findtext("id_"))
+        if enabled and not enabled[laser]:
+            continue
+        value = {name: units[unit](float(point.findtext(tag) or 0)) for tag, (name, unit) in XML_FIELDS.items()}
+        rows.append((sensor, laser, value["rot_correction"], value["vert_correction"], value["dist_correction"], False, value["dist_correction_x"], value["dist_correction_y"], value["vert_offset_correction"], value["horiz_offset_correction"], low[laser] if laser < len(low) else 0, high[laser] if laser < len(high) else 255, value["focal_distance"], value["focal_slope"], 0))
+    if not rows:
+        raise ValueError("no laser is enabled")
+    return rings(spark.createDataFrame(rows, CALIBRATION), angle="vert_correction")

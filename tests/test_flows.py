@@ -110,3 +110,25 @@ def test_streams_of_captures_and_rates(spark, tmp_path):
     query = folds.rates(s, "ts").writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r["n"] for r in spark.table("rates").collect()] == [3]
+
+
+def test_inertial_and_archive(spark):
+    s = spark.createDataFrame([("a", 1, 0.1, 0.2, 9.8, 0.0, 0.0, 0.3, 41.5)], "sensor string, stamp_ns long, accel_x float, accel_y float, accel_z float, gyro_x float, gyro_y float, gyro_z float, temperature float")
+    r = readers.inertial(s).first()
+    assert r["orientation_x"] == pytest.approx(41.5) and r["orientation_covariance_0"] == -1 and r["linear_acceleration_z"] == pytest.approx(9.8, abs=1e-5)
+    px = "<item><px><id_>{}</id_><rotCorrection_>90</rotCorrection_><vertCorrection_>{}</vertCorrection_><distCorrection_>50</distCorrection_></px></item>"
+    text = "<b><DB><enabled_><count>3</count><item>1</item><item>0</item><item>1</item></enabled_><minIntensity_><item>3</item><item>0</item><item>0</item></minIntensity_><points_>" + "".join(px.format(i, 10 - i) for i in range(3)) + "</points_></DB></b>"
+    got = {r["laser_id"]: r for r in readers.calibration_from_xml(spark, text, "a").collect()}
+    assert set(got) == {0, 2} and got[0]["dist_correction"] == 0.5 and got[0]["rot_correction"] == pytest.approx(np.pi / 2) and got[0]["min_intensity"] == 3
+    assert (got[0]["ring"], got[2]["ring"]) == (1, 0)
+
+
+def test_status_recalibrates_and_grids(spark):
+    c = packets.example_calibration(spark, ("0",))
+    status = spark.createDataFrame([("0", 1, [0.0] * 16), ("0", 2, [float(i) for i in range(16)])], "sensor string, stamp_ns long, angles array<float>")
+    new = {r["laser_id"]: r for r in packets.recalibrated(c, status).collect()}
+    assert new[3]["vert_correction"] == pytest.approx(np.radians(3)) and new[3]["ring"] == 3
+    raw = spark.createDataFrame([("0", i, packets.packet(480 * i, 40, 2000)) for i in (4, 9)], "sensor string, packet_no long, data binary")
+    g = packets.grid(packets.decode(raw, c))
+    assert g.agg(F.max("row"), F.max("col"), F.countDistinct("row", "col")).first()[:] == (47, 15, 768)
+    assert packets.transposed(g).agg(F.max("row")).first()[0] == 15
