@@ -7,16 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, stamp: str, value: str, right_stamp: str = "at") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, stamp: str, value: str, right_stamp: str = "at", width: float | None = None) -> DataFrame:
     """left with the value of the right row of its key that is latest at or before its stamp, null for none.
 
-    Both sides are merged and a running last value is taken: one shuffle by key and no pairs. At equal stamps the right row
-    comes first.
+    Both sides are merged and a running last value is taken: one shuffle and no pairs. At equal stamps the right row comes
+    first. With a width, stamps are cut into buckets that run in parallel: the last value of each bucket is found first, and a
+    bucket starts from the last value before it, so that one key with all the rows does not end in one task.
     """
     merged = left.select(by, F.col(stamp).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     known = right.select(by, F.col(right_stamp).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(merged.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = W.partitionBy(by).orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return merged.union(known).withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", value)
+    both, keys = merged.union(known).withColumn("_b", F.floor(F.col("_t") / F.lit(width)) if width else F.lit(0)), [by, "_b"]
+    w = W.partitionBy(*keys).orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    if width:
+        ends = both.groupBy(*keys).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_end"))
+        before = W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*keys, F.last("_end", ignorenulls=True).over(before)["_v"].alias("_carried"))
+        found = found.join(carried, keys, "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return found.select("_row.*", F.col("_last").alias(value))
 
 
 def synchronised(clouds: DataFrame, sensors: list[str], slop: float, by: str = "stream") -> DataFrame:

@@ -196,7 +196,7 @@ def approx_sync(spark, sf_dir):
 def tf_asof(spark, sf_dir):
     m = meas(spark, sf_dir)
     tf = m.where("kind = 'purchase'").select("stream", F.col("stamp").alias("at"), F.col("v").alias("yaw"))
-    return rounded(joins.as_of(m.where("kind <> 'purchase'").select("stream", "seq", "stamp"), tf, "stream", "stamp", "yaw").select("stream", "seq", "yaw"), "yaw")
+    return rounded(joins.as_of(m.where("kind <> 'purchase'").select("stream", "seq", "stamp"), tf, "stream", "stamp", "yaw", width=48.0).select("stream", "seq", "yaw"), "yaw")
 
 
 @query(f"WITH {MEAS} SELECT stream, seq FROM (SELECT *, max((kind = 'purchase')::INTEGER) OVER (PARTITION BY stream ORDER BY seq) AS seen FROM meas WHERE kind IN ('purchase', 'error')) WHERE kind = 'purchase' OR seen = 0")

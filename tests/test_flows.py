@@ -132,3 +132,17 @@ def test_status_recalibrates_and_grids(spark):
     g = packets.grid(packets.decode(raw, c))
     assert g.agg(F.max("row"), F.max("col"), F.countDistinct("row", "col")).first()[:] == (47, 15, 768)
     assert packets.transposed(g).agg(F.max("row")).first()[0] == 15
+
+
+def test_as_of_in_buckets(spark):
+    from echofield.operators import joins
+
+    rng = np.random.default_rng(3)
+    left = spark.createDataFrame([("k" if i % 4 else "l", i, float(t)) for i, t in enumerate(rng.integers(0, 300, 200))], "key string, seq long, stamp double")
+    right = spark.createDataFrame([("k", float(t), float(v)) for t, v in zip(rng.integers(0, 300, 12), rng.random(12))], "key string, at double, value double")
+    plain = sorted(map(tuple, joins.as_of(left, right, "key", "stamp", "value").collect()))
+    cut = sorted(map(tuple, joins.as_of(left, right, "key", "stamp", "value", width=10.0).collect()))
+    assert str(plain) == str(cut)
+    rows = [(r["at"], r["value"]) for r in right.collect()]
+    for key, _, stamp, value in cut:
+        assert value == max((r for r in rows if r[0] <= stamp and key == "k"), default=(0, None))[1]
