@@ -71,11 +71,12 @@ def concatenated(clouds: list[DataFrame]) -> DataFrame:
 
 
 def voxel_first(points: DataFrame, leaf: float, by: tuple[str, ...] = ("frame_no",), order: str = "seq") -> DataFrame:
-    """The first point of each voxel. The minimum of a struct combines on the map side, so no frame is sorted or held whole."""
+    """The first point of each voxel, where order tells a frame's points apart. Minima by order combine before the shuffle, in
+    hash aggregation as long as the columns are numbers, so nothing is sorted."""
     others = [c for c in points.columns if c not in (*by, order)]
     keys = [cell(F.col(c), leaf).alias(f"_i{c}") for c in XYZ]
-    first = points.groupBy(*by, *keys).agg(F.min(F.struct(order, *others)).alias("p"))
-    return first.select(*by, "p.*").select(*points.columns)
+    first = points.groupBy(*by, *keys).agg(F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in others])
+    return first.select(*points.columns)
 
 
 def voxel_first_capped(points: DataFrame, leaf: float, most: int, by: tuple[str, ...] = ("frame_no",), order: str = "seq") -> DataFrame:

@@ -86,9 +86,9 @@ def laser_scan(points: DataFrame, ring: int, resolution: float, bins: int, by: s
     """For each frame and bin the range and intensity of the ring's last point there; +Inf and 0 where there is none."""
     at = F.least(F.floor((F.atan2("y", "x") + d(math.pi)) / d(resolution)).cast("int"), F.lit(bins - 1))
     hit = points.where(F.col("ring") == ring).select(by, at.alias("bin"), order, F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("range"), "intensity")
-    last = hit.groupBy(by, "bin").agg(F.max_by(F.struct("range", "intensity"), order).alias("p"))
+    last = hit.groupBy(by, "bin").agg(F.max_by("range", order).alias("range"), F.max_by("intensity", order).alias("intensity"))
     every = points.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(last, [by, "bin"], "left").select(by, "bin", F.coalesce("p.range", d(math.inf)).alias("range"), F.coalesce("p.intensity", d(0)).alias("intensity"))
+    return every.join(last, [by, "bin"], "left").select(by, "bin", F.coalesce("range", d(math.inf)).alias("range"), F.coalesce("intensity", d(0)).alias("intensity"))
 
 
 def ring_count(points: DataFrame, by: str = "sensor", frame: str = "frame_no") -> DataFrame:
