@@ -35,6 +35,19 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows with whole texts that Python gets at a time.
+TEXT_ROWS = 1000
+
+
+def by_text(frame: DataFrame) -> DataFrame:
+    """The frame, in a session that hands Python at most TEXT_ROWS rows at a time: the session's usual number is meant for rows
+    of numbers, and a batch of texts is held by the JVM and by Python alike."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return frame
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Within it, actions hand Python so many rows at a time: for rows that hold long texts or many of them."""

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_text
+
 WINDOW = 4096
 #: The id that ends each document.
 END = 2
@@ -62,6 +64,8 @@ class WordIds(dict):
         self.model, self.letters = self.tokenizer.model, byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
         text = word.decode()
         if text.isascii() and text.isalpha():
             ids = array("I", [x.id for x in self.model.tokenize(text.lower())]).tobytes()
@@ -71,8 +75,6 @@ class WordIds(dict):
             ids = array("I", [x.id for x in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
         self[word] = ids
         return ids
 
@@ -114,11 +116,9 @@ def token_ids(text: str | None, words: WordIds) -> np.ndarray:
     return np.frombuffer(b"".join(b"".join(map(words.__getitem__, part.split())) for part in parts(data)), dtype="<u4")
 
 
-def sentence_marks(path: str) -> np.ndarray:
+def sentence_marks(tokenizer) -> np.ndarray:
     """For each id, whether its token ends a sentence."""
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(path).get_vocab()
+    vocabulary = tokenizer.get_vocab()
     marks = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     marks[[i for word, i in vocabulary.items() if re.fullmatch(r"[.!?]+(</w>)?", word)]] = True
     return marks
@@ -229,7 +229,7 @@ def batch_of(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def rows_out(rows: Iterator[tuple], schema: pa.Schema, at_a_time: int = 2000) -> Iterator[pa.RecordBatch]:
+def rows_out(rows: Iterator[tuple], schema: pa.Schema, at_a_time: int = 500) -> Iterator[pa.RecordBatch]:
     held = []
     for row in rows:
         held.append(row)
@@ -250,7 +250,8 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end: i
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64()), ("padding", pa.int64())])
 
     def run(batches):
-        words, packer = word_ids(tokenizer_path), Packer(sentence_marks(tokenizer_path), TaskContext.get().partitionId() << 36, window)
+        words = word_ids(tokenizer_path)
+        packer = Packer(sentence_marks(words.tokenizer), TaskContext.get().partitionId() << 36, window)
 
         def rows():
             for batch in batches:
@@ -258,10 +259,11 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, end: i
                     ids = token_ids(text.as_py(), words)
                     yield from packer.add(doc_id, np.append(ids, np.array([end], dtype="<u4")))
             yield from packer.finish()
+            words.clear()  # the worker goes on to other tasks, of other operators
 
         return rows_out(rows(), schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return by_text(documents).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

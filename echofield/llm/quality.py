@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, first_by_hash
+from .common import by_text, cut, first_by_hash
 
 #: Rows to grow the forest on, its trees, and rows of each tree. The fit is on this bounded sample of labelled rows.
 SAMPLE, TREES, ROWS = 4096, 128, 128
@@ -114,7 +114,7 @@ class Forest:
 
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id and the statistics. Null text has none of anything."""
-    return documents.select("doc_id", arrow_udf(_statistics, _TYPE)("text").alias("s")).select("doc_id", "s.*")
+    return by_text(documents).select("doc_id", arrow_udf(_statistics, _TYPE)("text").alias("s")).select("doc_id", "s.*")
 
 
 def fit(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:

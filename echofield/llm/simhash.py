@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import cut
+from .common import by_text, cut
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -55,7 +55,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:
-    return pa.array([signed(fingerprint(x)) for x in text.cast(pa.binary()).to_pylist()], pa.int64())
+    return pa.array([signed(fingerprint(x.as_py())) for x in text.cast(pa.binary())], pa.int64())
 
 
 def fingerprints(text: str) -> Column:
@@ -81,14 +81,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     other. A component whose ids are all null has a null component_id. An empty table gives an empty result. Only doc_id and
     text are read, so other columns cannot clash.
     """
-    marked = cut(documents.select("doc_id", fingerprints("text").alias("fp")))
+    marked = cut(by_text(documents).select("doc_id", fingerprints("text").alias("fp")))
     return marked.join(component_of(marked), "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents less near copies: of each component the row with the smallest id stays, rows without an id only where a
     component has no other. Columns of the input."""
-    rows = documents.withColumn("_fp", fingerprints("text"))
+    rows = by_text(documents).withColumn("_fp", fingerprints("text"))
     marked = cut(rows.select("doc_id", F.col("_fp").alias("fp")))
     several = component_of(marked)
     members = marked.distinct().join(several, "fp").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull())

@@ -18,13 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, shared_folder
+from .common import by_text, cut, shared_folder
 from .packing import batch_of, token_ids, word_ids
 
 #: The id that ends each document; the tokenizer never makes it from text.
 END = 49407
 #: Tokens of a file that a writer fills before it opens the next, and of a block.
-FILE_TOKENS, BLOCK_TOKENS = 1 << 21, 1 << 16
+FILE_TOKENS, BLOCK_TOKENS = 1 << 20, 1 << 16
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end: int = END) -> DataFrame:
@@ -60,8 +60,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end: in
                     size, number, held, ids = 0, number + 1, [], []
         if held:
             yield close()
+        words.clear()  # the worker goes on to other tasks, of other operators
 
-    return documents.select("doc_id", "text").mapInArrow(run, "file string, nth long, doc_id long")
+    return by_text(documents).select("doc_id", "text").mapInArrow(run, "file string, nth long, doc_id long")
 
 
 def blocks(files: DataFrame, size: int = BLOCK_TOKENS, end: int = END) -> DataFrame:

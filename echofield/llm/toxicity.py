@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .common import first_by_hash, held_out
+from .common import by_text, first_by_hash, held_out
 from .words import chosen_texts, folded
 
 #: Hashed vectors, their length, and the n-grams of a word.
@@ -30,7 +30,7 @@ SAMPLE, WINDOWS = 3000, 16
 #: Added to Adam's divisor: larger than the gradient of n-grams in a few windows, which thus stay small.
 EPS = 1e-4
 #: Words whose value a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def buckets(word: str) -> list[int]:
@@ -177,7 +177,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     Whole texts of any length count, window by window. Repeated rows score alike; an empty table gives an empty result.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
+    shared = by_text(documents).sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))
     held: list[Scorer] = []
 
     def scores(text: pa.Array) -> pa.Array:
