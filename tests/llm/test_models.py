@@ -84,6 +84,13 @@ def test_languages(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(120)) and kept.columns == d.columns
 
 
+def test_language_bounds(spark):
+    d = documents(spark, [(i, f"alpha beta w{i}" if i % 10 else "gamma", "en" if i % 10 else "de", "a") for i in range(600)])
+    small = langid.fit(d, sample=40, words=5)
+    assert small.languages == ["de", "en"] and len(small.tables[0][0]) <= 10 and {"alpha", "beta", "gamma"} <= set(small.tables[0][0])
+    assert langid.most_within({("a", 0): 3, ("a", 1): 3, ("b", 0): 9}, 5) == {"a": 0}
+
+
 def test_backoff_order():
     m = langid.Model(["a", "b"], [("a", "hello", 5), ("b", "yellow", 5)])
     assert m.word("hello")[0] > m.word("hello")[1] and m.word("yellows")[1] > m.word("yellows")[0]
