@@ -109,7 +109,7 @@ def ring_denoise(points: DataFrame, thresholds: tuple[float, ...], by: tuple[str
     return points.withColumns({"_mid": mid, "_ok": near & d3.isNotNull()}).where("_ok").select("_mid.*")
 
 
-def outliers_removed(points: DataFrame, k: int, sigma: float, leaf: float, by: str = "frame_no", order: str = "seq") -> DataFrame:
+def outliers_removed(points: DataFrame, k: int, sigma: float, by: str = "frame_no") -> DataFrame:
     """Statistical outlier removal: points whose mean distance to their k nearest is within sigma deviations of the mean.
     Frames of k points or fewer stay as they are. The kernel takes one frame, in blocks, so memory is a block by a frame."""
     import numpy as np

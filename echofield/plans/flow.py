@@ -34,8 +34,8 @@ def target_track(frames: DataFrame, stamps: DataFrame, cfg: Target = Target(), t
     """frames: stream, frame_no, seq, x, y, z, intensity; stamps: stream, frame_no, stamp. A frame without a detection is a
     miss; a frame without any point is one too."""
     region = points.target_region(frames, cfg)
-    small = points.voxel_centroid(region, cfg.leaf).select("frame_no", "x", "y", "z", "intensity").withColumn("seq", F.monotonically_increasing_id())
-    centre = robust.target_centre(points.outliers_removed(small, cfg.sor_k, cfg.sor_sigma, cfg.leaf), cfg)
+    small = points.voxel_centroid(region, cfg.leaf).select("frame_no", "x", "y", "z", "intensity")
+    centre = robust.target_centre(points.outliers_removed(small, cfg.sor_k, cfg.sor_sigma), cfg)
     seen = stamps.join(centre, "frame_no", "left")
     zero = F.lit(0.0)
     rows = seen.select("stream", F.col("frame_no").alias("seq"), "stamp", F.coalesce("detected", F.lit(False)).alias("detected"), F.coalesce("cx", zero).alias("cx"), F.coalesce("cy", zero).alias("cy"), F.coalesce("inliers", F.lit(0)).alias("inliers"), F.coalesce("rms", zero).alias("rms"))

@@ -131,7 +131,7 @@ nearest AS (SELECT frame_no, seq, g, row_number() OVER (PARTITION BY frame_no, s
 mean AS (SELECT frame_no, seq, avg(g) AS m FROM nearest WHERE n <= 5 GROUP BY ALL)
 SELECT frame_no, seq FROM (SELECT *, avg(m) OVER (PARTITION BY frame_no) + stddev_samp(m) OVER (PARTITION BY frame_no) AS lim FROM mean) WHERE m <= lim""")
 def sor_filter(spark, sf_dir):
-    return points.outliers_removed(pts(spark, sf_dir).select("frame_no", "seq", "x", "y", "z"), 5, 1.0, 0.0).select("frame_no", "seq")
+    return points.outliers_removed(pts(spark, sf_dir).select("frame_no", "seq", "x", "y", "z"), 5, 1.0).select("frame_no", "seq")
 
 
 _R = Target(radius=(0.8, 1.2), tolerance=1.5, min_points=1)
