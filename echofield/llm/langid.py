@@ -13,19 +13,18 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held_out
+from .common import by_text, cut, held_out
 from .words import chosen_texts
 
-#: Documents to learn from and words to keep, for each language: the bounds of the model.
-SAMPLE, WORDS = 1500, 40_000
+#: Documents to learn from and words to keep, for each language: the bounds of the model. Steps in which the former are taken.
+SAMPLE, WORDS, STEPS = 1500, 40_000, 256
 #: The longest n-grams to fall back to, and the weight of what was never seen.
 LONGEST, SMOOTHING = 5, 0.5
 #: Words whose scores a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -95,22 +94,50 @@ class Scorer(dict):
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
+def most_within(counts: dict, bound: int) -> dict:
+    """For each key of (key, step) counts, the number of leading steps whose counts add up to at most the bound."""
+    out: dict = {}
+    for key in {k for k, _ in counts}:
+        total = 0
+        for step in sorted(s for k, s in counts if k == key):
+            total += counts[key, step]
+            if total > bound:
+                break
+            out[key] = step
+    return out
+
+
+def by_key(key: str, values: dict) -> Column:
+    """A value for each key, from a table with one entry a language."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(key)]
+
+
+def below(key: str, step: str, limits: dict) -> Column:
+    """Whether a row's step is within its key's limit."""
+    return F.coalesce(F.col(step) <= by_key(key, limits), F.lit(False)) if limits else F.lit(False)
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Model:
     """Learns from at most `sample` documents of each language, those whose ids hash lowest, outside the held-out fold, and
-    keeps each language's most frequent words."""
+    keeps at most `words` of its most frequent words. Both bounds are found from counts by step, so no task ranks a language."""
     named = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("doc_id", F.col("lang").alias("of"))
-    texts = chosen_texts(named.select("doc_id", "lang", "text"), chosen).where("lang = of")
-    each = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    top = each.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= words)
-    counts = [(r["lang"], r["word"], r["n"]) for r in top.select("lang", "word", "n").collect()]
+    # A language's share of low hashes holds about twice the sample; steps of it are taken until the sample is full.
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    if not sizes:
+        return Model([], [])
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) / by_key("lang", {x: min(1.0, 2.0 * sample / n) for x, n in sizes.items()})
+    likely = cut(named.select("doc_id", F.col("lang").alias("of"), F.floor(low * STEPS).cast("int").alias("step")).where(F.col("step") < STEPS).distinct())
+    full = most_within({(r["of"], r["step"]): r["count"] for r in likely.groupBy("of", "step").count().collect()}, sample)
+    rows = chosen_texts(named.select("doc_id", "lang", "text"), likely.where(below("of", "step", full)).select("doc_id", "of")).where("lang = of")
+    each = cut(rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg((-F.count("*")).cast("int").alias("step")))
+    rare = most_within({(r["lang"], r["step"]): r["count"] for r in each.groupBy("lang", "step").count().collect()}, words)
+    counts = [(r["lang"], r["word"], -r["step"]) for r in each.where(below("lang", "step", rare)).collect()]
     return Model(sorted({x for x, _, _ in counts}), sorted(counts))
 
 
 def prediction(documents: DataFrame, model: Model) -> Column:
     """A struct of lang_pred and score for the column text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = by_text(documents).sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
 
     def predict(text: pa.Array) -> pa.Array:
@@ -128,7 +155,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", prediction(documents, model).alias("p")).select("doc_id", "p.*")
 
 
-def identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is told with a score of at least `least`, by a model that learns from them. Columns of the
     input; lang stays what it was."""
     found = documents.withColumn("_lang", prediction(documents, fit(documents)))
