@@ -158,6 +158,36 @@ def test_exact_passages_are_found(spark, sf_dir):
     assert total > 500 and missed <= 0.01 * total
 
 
+def test_passages_of_frequent_lines(spark):
+    """Every five words of the passage of 100 and 300 stand in other documents too, before and between them, in other chunks."""
+    passage = [f"p{i}" for i in range(60)]
+    pieces = [passage[i : i + 14] for i in range(0, 60, 5)]
+    texts = {first + i: [*(f"a{first + i}x{k}" for k in range(40)), *piece, *(f"b{first + i}x{k}" for k in range(40))] for first in (1, 201) for i, piece in enumerate(pieces)}
+    texts |= {i: [*(f"c{i}x{k}" for k in range(70)), *passage, *(f"d{i}x{k}" for k in range(70))] for i in (100, 300)}
+    d = documents(spark, [(i, " ".join(t), "en", "a") for i, t in sorted(texts.items())])
+    for n in (1, 5):
+        got = passages.repeated_passages(d.repartition(n, "doc_id")).collect()
+        assert [(r["doc_id"], r["ref_doc_id"], r["start"], r["end"], r["ref_start"], r["ref_end"]) for r in got] == [(300, 100, 70, 130, 70, 130)]
+
+
+def test_windows_of_fifty_words_are_all_found(spark):
+    """Texts of few lines, against all windows of fifty words that an earlier document has."""
+    rng = random.Random(7)
+    lines = [[f"l{i}w{k}" for k in range(rng.randrange(6, 25))] for i in range(30)]
+    blocks = [sum(rng.sample(lines, 5), []) for _ in range(6)]
+    texts = [sum((rng.choice(blocks)[rng.randrange(9) :] if rng.random() < 0.2 else rng.choice(lines) for _ in range(rng.randrange(6, 16))), []) for _ in range(150)]
+    d = documents(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]).repartition(6)
+    covered = {}
+    for r in passages.repeated_passages(d).collect():
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    seen = set()
+    for i, t in enumerate(texts):
+        own = {tuple(t[k : k + 50]): k for k in range(len(t) - 49)}
+        assert all(set(range(k, k + 50)) <= covered.get(i, set()) for w, k in own.items() if w in seen)
+        seen |= set(own)
+    assert len(seen) > 1000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
 def test_chains_are_collinear(matches):
