@@ -315,4 +315,4 @@ def target_marker(spark, sf_dir):
 
 @query(f"WITH {PTS} SELECT frame_no, seq, CASE WHEN isfinite(x) THEN printf('%.3f', x) ELSE '---' END AS x3, CASE WHEN isfinite(z) THEN printf('%.0f', z * 1000) ELSE '---' END AS z_mm FROM pts WHERE seq % 2 = 1")
 def display_text(spark, sf_dir):
-    return pts(spark, sf_dir).where("seq % 2 = 1").select("frame_no", "seq", C.shown(F.col("x"), 3).alias("x3"), C.shown(F.col("z") * 1000, 0).alias("z_mm"))
+    return pts(spark, sf_dir).select("frame_no", "seq", C.shown(F.col("x"), 3).alias("x3"), C.shown(F.col("z") * 1000, 0).alias("z_mm"))

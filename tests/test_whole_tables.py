@@ -16,3 +16,8 @@ def same(spark, duck, sf_dir, name, part):  # noqa: F811
 
 def test_all_packets_are_decoded(spark, duck, sf_dir):  # noqa: F811
     same(spark, duck, sf_dir, "packet_decode", " WHERE seq % 10 = 0")
+
+
+def test_all_points_are_shown(spark, duck, sf_dir):  # noqa: F811
+    want = same(spark, duck, sf_dir, "display_text", " WHERE seq % 2 = 1")
+    assert len(want) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
