@@ -55,10 +55,11 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 
 def features(columns: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits on: ratios, so that length alone makes no document unusual."""
+    """What the forest splits on: ratios, so that length alone makes no document unusual. Symbols count thrice, by words also
+    without the logarithm and by characters, as most junk is made of them."""
     c = {k: np.asarray(v, dtype=np.float64) for k, v in columns.items()}
-    n, lines = np.maximum(c["n_words"], 1), np.maximum(c["n_lines"], 1)
-    return np.stack([np.log1p(c["n_words"]), c["word_chars"] / n, np.log1p(100 * c["n_symbols"] / n), c["n_dup_lines"] / lines, c["n_repeat_words"] / n, np.log(n / lines), c["n_capital"] / n], axis=1)
+    n, lines, chars = (np.maximum(c[k], 1) for k in ("n_words", "n_lines", "word_chars"))
+    return np.stack([np.log1p(c["n_words"]), c["word_chars"] / n, np.log1p(100 * c["n_symbols"] / n), c["n_dup_lines"] / lines, c["n_repeat_words"] / n, np.log(n / lines), c["n_capital"] / n, c["n_symbols"] / n, c["n_symbols"] / chars], axis=1)
 
 
 class Forest:
@@ -122,7 +123,7 @@ def fit(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     ids = first_by_hash(labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id").distinct(), sample, "doc_id")
     found = counted.join(F.broadcast(ids), "doc_id").select(*STATISTICS, "doc_id").distinct()
     rows = sorted(tuple(r) for r in first_by_hash(found, 2 * sample, "doc_id", *STATISTICS).collect())
-    return Forest(features(dict(zip(STATISTICS, zip(*rows)))) if rows else np.empty((0, 7)))
+    return Forest(features(dict(zip(STATISTICS, zip(*rows)))) if rows else np.empty((0, 9)))
 
 
 def scored(counted: DataFrame, forest: Forest) -> DataFrame:

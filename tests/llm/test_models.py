@@ -152,6 +152,14 @@ def test_quality_keeps_good(spark):
     assert np.mean([r["kept"] for r in got if r["quality"] == 1]) > 0.97
 
 
+def test_quality_drops_bad(spark):
+    """Of labelled documents that pass the base rules."""
+    d = "/root/testdata/sf0.1"
+    got = queries.op8_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
+    kept = {q: np.mean([r["kept"] for r in got if r["quality"] == q]) for q in (0, 1)}
+    assert kept[0] < 0.1 and kept[1] > 0.98
+
+
 def test_quality_of_odd_rows(odd, none, labels):
     rows = quality.judge(odd, labels).collect()
     assert len(rows) == odd.count() and all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 10)
