@@ -25,8 +25,8 @@ from .words import chosen_texts, folded
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (4, 5, 6)
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 32
-#: Labelled rows to learn from, of each class, and windows of each. The fit is on this bounded sample.
-SAMPLE, WINDOWS = 3000, 16
+#: Labelled rows to learn from, of each class. The fit is on this bounded sample, and reads its texts whole.
+SAMPLE = 3000
 #: Added to Adam's divisor: larger than the gradient of n-grams in a few windows, which thus stay small.
 EPS = 1e-4
 #: Words whose value a worker remembers.
@@ -95,12 +95,11 @@ def train(texts: list[str], toxic: list[int], rounds: int = 80, later: int = 120
     for d, text in enumerate(texts):
         if kept[d]:
             continue
-        words = [index.setdefault(w, len(index)) for w in folded(text)]
-        spans = windows(len(words))
-        for a, b in spans if len(spans) <= WINDOWS else [spans[i] for i in sorted(rng.choice(len(spans), WINDOWS, replace=False))]:
+        words = np.array([index.setdefault(w, len(index)) for w in folded(text)], dtype=np.int32)
+        for a, b in windows(len(words)):
             if b > a:
                 owner.append(d)
-                flat.append(np.array(words[a:b]))
+                flat.append(words[a:b])
                 lengths.append(b - a)
     subs = [buckets(w) for w in index]
     sub_n = np.array([len(x) for x in subs])

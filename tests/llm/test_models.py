@@ -49,6 +49,24 @@ def test_toxicity_generalises():
     assert scorer.score(long + "you moron and idiot " + long) > 0.5 > scorer.score(long)
 
 
+def test_toxicity_learns_from_whole_texts():
+    """One window in a hundred holds the insults."""
+    words = ["".join(random.Random(9 + k).choice("abcdefghinorst") for _ in range(7)) for k in range(300)]
+
+    def rows(seed):
+        rng, out = random.Random(seed), []
+        for i in range(80):
+            text = [rng.choice(words) for _ in range(4000)]
+            if i % 2:
+                k = rng.randrange(3980)
+                text[k : k + 20 : 2] = rng.choices(INSULTS, k=10)
+            out.append((" ".join(text), i % 2))
+        return out
+
+    scorer = toxicity.Scorer(toxicity.train(*map(list, zip(*rows(1)))))
+    assert np.mean([(scorer.score(t) >= 0.5) == bool(y) for t, y in rows(2)]) > 0.9
+
+
 def test_toxicity_without_classes():
     assert toxicity.Scorer(toxicity.train(["a b"], [1])).score("a") > 0.5
     assert 0 <= toxicity.Scorer(toxicity.train([], [])).score(None) <= 1
