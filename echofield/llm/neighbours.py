@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each pivot's inverted file posts a vector with the place that the
-pivot has in its order. Vectors with similar orders are near: they are ranked by Spearman's footrule over the posted places,
-and the best of them are ranked again by the inner product itself.
+A vector is represented by its nearest pivots in order. Each pivot's inverted file posts the vectors that have it among theirs,
+with its place in their order. A query reads the files of its own nearest pivots only: what it meets there is ranked by
+Spearman's footrule over the places, and the best are ranked again by the inner product itself.
 
-The index is cut into blocks of vectors, each with its own inverted files, and the queries into blocks too; a task takes one
-block of each. Both grow with the data, so no task holds more than a block of either, and a vector that many rows share is
-spread over all blocks. Pivots are fitted on a bounded sample.
+The index is cut into shards of vectors, each with its own inverted files. A task builds one shard and lets the queries pass in
+batches, so it holds a shard and a batch whatever their number, and a vector that many rows share is spread over all shards.
+Pivots are fitted on a bounded sample.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from .common import cut, first_by_hash
 from .packing import batch_of
 
-#: Pivots, how many of them represent a vector, and rows to choose them from.
-PIVOTS, PLACES, SAMPLE = 128, 64, 2048
-#: The share of a block that is ranked again, and the least number.
-AGAIN, LEAST = 0.15, 48
-#: Vectors and queries of a block at most, and blocks of vectors at least.
-BLOCK, QUERIES, SPREAD = 4096, 2048, 48
+#: Pivots at most, how many of them represent a vector, and rows to choose them from.
+PIVOTS, PLACES, SAMPLE = 512, 64, 4096
+#: The share of a shard that is ranked again, and the least number of the whole index, in multiples of what is asked for.
+AGAIN, LEAST = 0.1, 20
+#: Vectors of a shard, at least where there are so many and at most; shards wanted; queries that one task answers at most.
+SHARD, SHARD_MOST, SHARDS, QUERIES = 4096, 1 << 16, 256, 1 << 18
 NEAREST = 20
 #: Queries are the rows whose id this divides.
 EVERY = 20
@@ -41,55 +41,88 @@ def usable(vector: str, dim: int) -> Column:
 
 
 def pivots(sample: np.ndarray, n: int = PIVOTS, seed: int = 0) -> np.ndarray:
-    """Distinct vectors of the sample, at unit length."""
+    """Distinct vectors of the sample, at unit length, and at most a quarter of them."""
     distinct = np.unique(sample, axis=0)
-    chosen = distinct[np.sort(np.random.default_rng(seed).permutation(len(distinct))[:n])]
+    chosen = distinct[np.sort(np.random.default_rng(seed).permutation(len(distinct))[: min(n, max(2, len(distinct) // 4))])]
     return chosen / np.linalg.norm(chosen, axis=1, keepdims=True)
 
 
-def posted(vectors: np.ndarray, pivot: np.ndarray, places: int = PLACES) -> np.ndarray:
-    """For each pivot a row, its inverted file: how far before the cut-off it stands in each vector's order, 0 beyond."""
-    places = min(places, len(pivot))
-    order = np.argsort(-(pivot @ vectors.T), axis=0, kind="stable")[:places]
-    out = np.zeros((len(pivot), len(vectors)), dtype=np.uint8)
-    np.put_along_axis(out, order, np.arange(places, 0, -1, dtype=np.uint8)[:, None], axis=0)
-    return out
-
-
-def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, pivot: np.ndarray, k: int = NEAREST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and inner products of the nearest found in a block.
-
-    Copies of a vector are one entry, so ties never crowd others out. The footrule of two cut-off orders is a constant less
-    twice the sum over shared pivots of the lesser distance before the cut-off, and only that sum is accumulated.
-    """
-    distinct, entry = np.unique(vectors, axis=0, return_inverse=True)
-    by_entry = np.lexsort((ids, entry))
-    starts = np.searchsorted(entry[by_entry], np.arange(len(distinct) + 1))
-    files, asked = posted(distinct, pivot), posted(queries, pivot)
-    again = min(len(distinct), max(LEAST, math.ceil(AGAIN * len(distinct))))
-    for j, q in enumerate(queries):
-        own = np.flatnonzero(asked[:, j])
-        near = np.minimum(files[own], asked[own, j][:, None]).sum(axis=0, dtype=np.uint16)
-        found = np.argpartition(near, len(near) - again)[len(near) - again :]
-        score = (distinct[found] * q).sum(axis=1)
-        best = found[score >= np.partition(score, len(score) - min(k + 1, len(score)))[len(score) - min(k + 1, len(score))]]
-        score = (distinct[best] * q).sum(axis=1)
-        # The query's own row does not count, so of each entry one copy more than k can matter.
-        rows = [by_entry[starts[e] : min(starts[e + 1], starts[e] + k + 1)] for e in best]
-        flat = np.concatenate(rows)
-        value = np.repeat(score, [len(r) for r in rows])
-        keep = ids[flat] != q_ids[j]
-        flat, value = flat[keep], value[keep]
-        top = np.lexsort((ids[flat], -value))[:k]
-        yield int(q_ids[j]), ids[flat[top]], value[top]
-
-
-def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFrame:
+def orders(vectors: np.ndarray, pivot: np.ndarray, places: int = PLACES) -> np.ndarray:
+    """For each vector its nearest pivots, nearest first: half of all pivots at most."""
+    return np.argsort(-(vectors @ pivot.T), axis=1, kind="stable")[:, : max(1, min(places, len(pivot) // 2))]
+
+
+class Shard:
+    """Inverted files over distinct vectors; copies of a vector are one entry, so ties never crowd others out."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivot: np.ndarray, least: int, again: float = AGAIN, places: int = PLACES):
+        self.pivot, self.places = pivot, places
+        self.vectors, entry = np.unique(vectors, axis=0, return_inverse=True)
+        entry = entry.ravel()
+        order = np.lexsort((ids, entry))
+        self.ids, self.starts = ids[order], np.searchsorted(entry[order], np.arange(len(self.vectors) + 1))
+        nearest = orders(self.vectors, pivot, places)
+        depth = nearest.shape[1]
+        by_pivot = np.argsort(nearest.ravel(), kind="stable")
+        self.posted, self.before = by_pivot // depth, depth - by_pivot % depth
+        self.files = np.searchsorted(nearest.ravel()[by_pivot], np.arange(len(pivot) + 1))
+        self.again = min(len(self.vectors), max(least, math.ceil(again * len(self.vectors))))
+
+    def met(self, order: np.ndarray) -> np.ndarray:
+        """Twice this is a constant less the footrule of two cut-off orders: over shared pivots, the sum of the lesser distance
+        before the cut-off."""
+        spans = [slice(self.files[p], self.files[p + 1]) for p in order]
+        own = np.repeat(np.arange(len(order), 0, -1), [s.stop - s.start for s in spans])
+        return np.bincount(np.concatenate([self.posted[s] for s in spans]), np.minimum(own, np.concatenate([self.before[s] for s in spans])), len(self.vectors))
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, k: int = NEAREST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the ids and inner products of the nearest found."""
+        for q_id, q, order in zip(q_ids, queries, orders(queries, self.pivot, self.places)):
+            found = np.argpartition(self.met(order), len(self.vectors) - self.again)[len(self.vectors) - self.again :]
+            score = (self.vectors[found] * q).sum(axis=1)
+            last = max(0, len(score) - k - 1)
+            best = score >= np.partition(score, last)[last]
+            # The query's own row does not count, so of each entry one copy more than k can matter.
+            rows = [self.ids[self.starts[e] : min(self.starts[e + 1], self.starts[e] + k + 1)] for e in found[best]]
+            ids, value = np.concatenate(rows), np.repeat(score[best], [len(r) for r in rows])
+            keep = ids != q_id
+            top = np.lexsort((ids[keep], -value[keep]))[:k]
+            yield int(q_id), ids[keep][top], value[keep][top]
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def answers(batches: Iterator[pa.RecordBatch], pivot: np.ndarray, dim: int, least: int, again: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, a cell's vectors (cell, asks, vec_id, v) before its queries; one shard and one batch are held."""
+    cell, held, shard = None, [], None
+    for batch in batches:
+        cells, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        vectors = batch.column(3).flatten().to_numpy().reshape(-1, dim)
+        edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(cells)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if cells[a] != cell:
+                cell, held, shard = cells[a], [], None
+            if not asks[a]:
+                held.append((ids[a:b].copy(), vectors[a:b].copy()))
+                continue
+            if held:
+                shard, held = Shard(*(np.concatenate(x) for x in zip(*held)), pivot, least, again), []
+            if shard:
+                found = list(shard.search(ids[a:b], vectors[a:b], k))
+                yield batch_of([np.repeat([x for x, _, _ in found], [len(y) for _, y, _ in found]), np.concatenate([y for _, y, _ in found]), np.concatenate([z for _, _, z in found])], _FOUND)
+
+
+def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = EVERY, again: float = AGAIN) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query, by inner product, ties to the smaller id.
 
     Queries are the rows whose id `every` divides; candidates are all rows with another id. Rows without an id, and vectors
     that are null, zero, of another length than most, or hold null or non-finite components take no part. A repeated id is a
-    candidate row like any other, and one query. With few candidates all are returned; an empty table gives an empty result.
+    candidate row like any other, and one query, with the least of its vectors. With few candidates all are returned; an empty
+    table gives an empty result. Only vec_id and embedding are read. A share `again` of the vectors is ranked again, but LEAST * k
+    of them at least. Every shard answers every query; vectors are copied once for each QUERIES queries.
     """
     named = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     lengths = named.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).head(1)
@@ -103,24 +136,18 @@ def nearest(embeddings: DataFrame, k: int = NEAREST, every: int = EVERY) -> Data
         return empty
     asking = F.col("vec_id") % every == 0
     n, q = rows.agg(F.count("*"), F.count_if(asking)).first()
-    wide, high = max(SPREAD, math.ceil(n / BLOCK)), max(1, math.ceil(q / QUERIES))
+    wide, high = math.ceil(n / min(SHARD_MOST, max(SHARD, n // SHARDS))), max(1, math.ceil(q / QUERIES))
     shared = embeddings.sparkSession.sparkContext.broadcast(pivots(np.array(sample)))
     spread = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(wide)).cast("int")
     level = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(high)).cast("int")
-    stored = rows.select(spread.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("y"), "vec_id", "v", F.lit(False).alias("asks"))
-    asked = rows.where(asking).dropDuplicates(["vec_id"]).select(F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("x"), level.alias("y"), "vec_id", "v", F.lit(True).alias("asks"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(cell: pa.Table) -> pa.Table:
-        ids, asks = cell["vec_id"].to_numpy(), cell["asks"].to_numpy()
-        vectors = cell["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        if asks.all() or not asks.any():
-            return schema.empty_table()
-        order = np.argsort(ids, kind="stable")
-        mine, theirs = order[~asks[order]], order[asks[order]]
-        found = list(search(ids[mine], vectors[mine], ids[theirs], vectors[theirs], shared.value, k))
-        return pa.Table.from_batches([batch_of([np.repeat([x for x, _, _ in found], [len(y) for _, y, _ in found]), np.concatenate([y for _, y, _ in found]), np.concatenate([z for _, _, z in found])], schema)])
-
-    each = stored.union(asked).groupBy("x", "y").applyInArrow(run, "query_id long, vec_id long, score double")
+
+    def cells(x, y):
+        return (x * high + y).alias("cell")
+
+    stored = rows.select(F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("y"), spread.alias("x"), "vec_id", "v").select(cells(F.col("x"), F.col("y")), F.lit(False).alias("asks"), "vec_id", "v")
+    asked = rows.where(asking).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("x"), level.alias("y"), "vec_id", "v").select(cells(F.col("x"), F.col("y")), F.lit(True).alias("asks"), "vec_id", "v")
+    least = math.ceil(LEAST * k / wide) + 1
+    dealt = stored.union(asked).repartitionById(wide * high, "cell").sortWithinPartitions("cell", "asks", "vec_id", "v")
+    each = dealt.mapInArrow(lambda batches: answers(batches, shared.value, dim, least, again, k), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

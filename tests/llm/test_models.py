@@ -267,12 +267,32 @@ def test_recall_and_ties(spark):
 
 
 def test_footrule_by_minimum():
-    """The accumulated minimum orders candidates as the footrule of cut-off orders does."""
+    """What is accumulated over the inverted files orders candidates as the footrule of cut-off orders does."""
     rng = np.random.default_rng(1)
-    v, p = rng.normal(0, 1, (40, 8)), rng.normal(0, 1, (16, 8))
-    a = neighbours.posted(v, p, 6).astype(int)
-    places = 6 - a
-    for q in range(5):
-        near = np.minimum(a[:, [q]], a).sum(axis=0)
-        footrule = np.abs(places[:, [q]] - places).sum(axis=0)
-        assert np.array_equal(footrule, 6 * 7 - 2 * near)
+    v, p, q = (rng.normal(0, 1, (n, 8)) for n in (40, 16, 5))
+    shard = neighbours.Shard(np.arange(40), v, p, 5, places=6)
+
+    def places(x):
+        out = np.full((len(x), 16), 6)
+        np.put_along_axis(out, neighbours.orders(x, p, 6), np.arange(6)[None], 1)
+        return out
+
+    for order, mine in zip(neighbours.orders(q, p, 6), places(q)):
+        assert np.array_equal(np.abs(places(shard.vectors) - mine).sum(axis=1), 6 * 7 - 2 * shard.met(order))
+
+
+def test_shards_and_query_blocks(spark, monkeypatch):
+    """Many small cells, against all pairs; a repeated id asks once, with the least of its vectors."""
+    for name, value in (("SHARD", 50), ("SHARDS", 4), ("QUERIES", 7)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(2)
+    e = rng.normal(0, 1, (300, 8)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(e)] + [(40, [9.0] * 8)]
+    got = {}
+    for r in neighbours.nearest(vectors(spark, rows), 5, again=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    assert sorted(got) == list(range(0, 300, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        assert [found[k] for k in range(1, 6)] == [int(ids[j]) for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
