@@ -101,8 +101,8 @@ def parts(text: bytes, most: int = PART_BYTES) -> Iterator[bytes]:
         yield text[at:]
 
 
-#: A full stop or comma that follows another mark belongs to that mark's piece.
-_RUN = re.compile(r"[^\sA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f][.,](?=\s|$)")
+#: A full stop or comma that follows another mark belongs to that mark's piece. Only the six ASCII spaces part words here.
+_RUN = re.compile(r"[^\x20\x09-\x0DA-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u024f][.,](?=[\x20\x09-\x0D]|$)")
 
 
 def token_ids(text: str | None, words: WordIds) -> np.ndarray:

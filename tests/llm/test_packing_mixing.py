@@ -1,5 +1,6 @@
 import itertools
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -91,6 +92,16 @@ def test_word_ids_are_the_tokenizers(text):
     assert packing.token_ids(text, packing.word_ids(PATH)).tolist() == ids_of(text)
 
 
+SPACES = [chr(c) for c in range(0x110000) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Cc", "Cf", "Zs", "Zl", "Zp")]
+
+
+def test_word_ids_about_every_space_and_control():
+    words = packing.word_ids(PATH)
+    for c, before, mark, after in itertools.product(SPACES, ("a", "é", "."), (".", ","), (" x", "\nb", "")):
+        for text in (f"{before}{c}{mark}{after}", f"{before}{mark}{c}{after}"):
+            assert packing.token_ids(text, words).tolist() == ids_of(text), text
+
+
 def test_parts_cover_the_text():
     data = LONG.encode()
     assert b"".join(packing.parts(data, 1000)) == data
