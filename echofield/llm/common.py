@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -15,14 +16,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session whose executors are threads of the
+    driver gets a temporary one where that is unset (tests); on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="echofield-"))
     return context.getCheckpointDir()
 
 
+def fresh(frame: DataFrame) -> str:
+    """A prefix with which no column of the frame begins: names of working columns that start with it cannot clash."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in frame.columns):
+        prefix += "_"
+    return prefix
+
+
+def columns_of(frame: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in frame.columns]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store holds it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,9 @@ scores are the sums over its words.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,23 +18,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import by_text, cut, held_out
+from .common import by_text, columns_of, cut, fresh, held_out
 from .words import chosen_texts
 
-#: Documents to learn from and words to keep, for each language: the bounds of the model. Steps in which the former are taken.
-SAMPLE, WORDS, STEPS = 1500, 40_000, 256
+#: Documents to learn from and words to keep, for each language; languages and words of all of them: the bounds of the model.
+SAMPLE, WORDS, LANGUAGES, ALL_WORDS = 1500, 40_000, 1000, 1_000_000
+#: Steps of the hash order in which documents and words are taken.
+STEPS = 256
 #: The longest n-grams to fall back to, and the weight of what was never seen.
 LONGEST, SMOOTHING = 5, 0.5
-#: Words whose scores a worker remembers.
+#: Letters of a word at most; a longer run is cut, here and in training alike.
+LONGEST_WORD = 64
+#: Chunks of text whose scores a worker remembers.
 REMEMBERED = 150_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+@cache
+def _words() -> re.Pattern:
+    """Letters are the characters of Unicode's category L: of what is alphanumeric here, all but the numbers."""
+    numbers = "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L")
+    return re.compile(f"[^\\W_{numbers}]{{1,{LONGEST_WORD}}}")
+
+
+#: ASCII characters that are no letters part chunks; the letters of other scripts are looked for inside a chunk.
+_PARTING = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()})
 
 
 def letters(text: str | None) -> list[str]:
-    """The runs of letters, in lower case."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """The words of a text: its runs of letters, in lower case."""
+    return _words().findall(text.lower()) if text else []
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -68,71 +83,108 @@ class Model:
 
 
 class Scorer(dict):
-    """Places of words' scores in a table of bounded size."""
+    """Places of chunks in a table of bounded size, which holds the summed scores of a chunk's words and their number."""
 
     def __init__(self, model: Model):
-        self.model, self.scores = model, np.zeros((REMEMBERED, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        self.scores[len(self)] = self.model.word(word)
-        self[word] = place = len(self)
+        self.model, self.scores = model, np.zeros((REMEMBERED, len(model.languages) + 1))
+
+    def __missing__(self, chunk: str) -> int:
+        row = np.zeros(len(self.model.languages) + 1)
+        for word in letters(chunk):
+            row[:-1] += self.model.word(word)
+            row[-1] += 1
+        self.scores[len(self)] = row
+        self[chunk] = place = len(self)
         return place
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = letters(text)
-        if not words or not self.model.languages:
+        if not text or not self.model.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), REMEMBERED // 4):
-            part = words[at : at + REMEMBERED // 4]
+        chunks, sums = text.lower().translate(_PARTING).split(), np.zeros(len(self.model.languages) + 1)
+        for at in range(0, len(chunks), REMEMBERED // 4):
+            part = chunks[at : at + REMEMBERED // 4]
             if len(self) + len(part) > REMEMBERED:
                 self.clear()
-            total += self.scores[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
+            sums += self.scores[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
+        total, words = sums[:-1], sums[-1]
+        if not words:
+            return UNKNOWN, 0.0
         # The words of a text depend on one another, so their number counts by its root.
-        odds = np.exp((total - total.max()) / np.sqrt(len(words)))
+        odds = np.exp((total - total.max()) / np.sqrt(words))
         best = int(np.argmax(odds))
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def most_within(counts: dict, bound: int) -> dict:
+def most_within(counts: dict, bound: int | dict) -> dict:
     """For each key of (key, step) counts, the number of leading steps whose counts add up to at most the bound."""
-    out: dict = {}
-    for key in {k for k, _ in counts}:
-        total = 0
-        for step in sorted(s for k, s in counts if k == key):
-            total += counts[key, step]
-            if total > bound:
+    by_step, out = defaultdict(dict), {}
+    for (key, step), n in counts.items():
+        by_step[key][step] = n
+    for key, steps in by_step.items():
+        total, most = 0, bound[key] if isinstance(bound, dict) else bound
+        for step in sorted(steps):
+            total += steps[step]
+            if total > most:
                 break
             out[key] = step
     return out
 
 
-def by_key(key: str, values: dict) -> Column:
-    """A value for each key, from a table with one entry a language."""
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(key)]
+def small(spark, columns: str, rows: list[tuple]) -> DataFrame:
+    """A table with a row a language at most, which can be sent to every executor."""
+    return F.broadcast(spark.createDataFrame(rows, columns))
 
 
-def below(key: str, step: str, limits: dict) -> Column:
-    """Whether a row's step is within its key's limit."""
-    return F.coalesce(F.col(step) <= by_key(key, limits), F.lit(False)) if limits else F.lit(False)
+def sampled(named: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
+    """(lang, text) of at most `sample` rows of each of the `languages` languages with the most rows: those whose ids hash
+    lowest. Counts by step of the hash tell how far to go, so no task ranks a language."""
+    spark = named.sparkSession
+    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    # A language's share of low hashes holds about twice the sample; steps of it are taken until the sample is full.
+    share = small(spark, "lang string, share double", [(r["lang"], min(1.0, 2.0 * sample / r["count"])) for r in sizes])
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) / F.col("share")
+    likely = cut(named.join(share, "lang").select("doc_id", F.col("lang").alias("of"), F.floor(low * STEPS).cast("int").alias("step")).where(F.col("step") < STEPS).distinct())
+    full = most_within({(r["of"], r["step"]): r["count"] for r in likely.groupBy("of", "step").count().collect()}, sample)
+    ids = likely.join(small(spark, "of string, last int", list(full.items())), "of").where("step <= last").select("doc_id", "of")
+    return chosen_texts(named.select("doc_id", "lang", "text"), ids).where("lang = of").select("lang", "text")
+
+
+def frequent(each: DataFrame, bound: int) -> DataFrame:
+    """Of (lang, word, n) at most `bound` rows a language, the most frequent ones; of the words that are as frequent as the
+    last of them those whose hashes are lowest, so that a language of many words of one frequency keeps some as well."""
+    spark = each.sparkSession
+    classes = {(r["lang"], -r["n"]): r["count"] for r in each.groupBy("lang", "n").count().collect()}
+    whole, held, after = most_within(classes, bound), defaultdict(int), {}
+    for lang, step in sorted(classes):
+        if lang in whole and step <= whole[lang]:
+            held[lang] += classes[lang, step]
+        else:
+            after.setdefault(lang, step)
+    room = {x: bound - held[x] for x in after if held[x] < bound}
+    kept = each.join(small(spark, "lang string, least int", [(x, -step) for x, step in whole.items()]), "lang").where("n >= least").select("lang", "word", "n")
+    if not room:
+        return kept
+    edges = small(spark, "lang string, n int, share double", [(x, -after[x], min(1.0, 2.0 * n / classes[x, after[x]])) for x, n in room.items()])
+    low = F.pmod(F.xxhash64("word"), F.lit(1 << 31)) / float(1 << 31) / F.col("share")
+    edge = cut(each.join(edges, ["lang", "n"]).select("lang", "word", "n", F.floor(low * STEPS).cast("int").alias("step")).where(F.col("step") < STEPS))
+    taken = most_within({(r["lang"], r["step"]): r["count"] for r in edge.groupBy("lang", "step").count().collect()}, room)
+    return kept.union(edge.join(small(spark, "lang string, last int", list(taken.items())), "lang").where("step <= last").select("lang", "word", "n"))
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Model:
-    """Learns from at most `sample` documents of each language, those whose ids hash lowest, outside the held-out fold, and
-    keeps at most `words` of its most frequent words. Both bounds are found from counts by step, so no task ranks a language."""
+    """Learns from at most `sample` documents of each language, outside the held-out fold, and keeps at most `words` of its most
+    frequent words, fewer where there are so many languages that ALL_WORDS bounds them. Rows without an id, a language or a text
+    are not learned from; an empty table gives a model without languages."""
     named = documents.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # A language's share of low hashes holds about twice the sample; steps of it are taken until the sample is full.
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
-    if not sizes:
-        return Model([], [])
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31) / by_key("lang", {x: min(1.0, 2.0 * sample / n) for x, n in sizes.items()})
-    likely = cut(named.select("doc_id", F.col("lang").alias("of"), F.floor(low * STEPS).cast("int").alias("step")).where(F.col("step") < STEPS).distinct())
-    full = most_within({(r["of"], r["step"]): r["count"] for r in likely.groupBy("of", "step").count().collect()}, sample)
-    rows = chosen_texts(named.select("doc_id", "lang", "text"), likely.where(below("of", "step", full)).select("doc_id", "of")).where("lang = of")
-    each = cut(rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg((-F.count("*")).cast("int").alias("step")))
-    rare = most_within({(r["lang"], r["step"]): r["count"] for r in each.groupBy("lang", "step").count().collect()}, words)
-    counts = [(r["lang"], r["word"], -r["step"]) for r in each.where(below("lang", "step", rare)).collect()]
-    return Model(sorted({x for x, _, _ in counts}), sorted(counts))
+
+    def split(text: pa.Array) -> pa.Array:
+        return pa.array([letters(x.as_py()) for x in text], pa.list_(pa.string()))
+
+    found = by_text(sampled(named, sample)).select("lang", F.explode(arrow_udf(split, "array<string>")("text")).alias("word"))
+    each = cut(found.groupBy("lang", "word").agg(F.count("*").cast("int").alias("n")))
+    languages = each.select("lang").distinct().count()
+    counts = sorted((r["lang"], r["word"], r["n"]) for r in frequent(each, min(words, ALL_WORDS // max(1, languages))).collect())
+    return Model(sorted({x for x, _, _ in counts}), counts)
 
 
 def prediction(documents: DataFrame, model: Model) -> Column:
@@ -151,12 +203,15 @@ def prediction(documents: DataFrame, model: Model) -> Column:
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each document. Texts that are null or have no letter are `und` with score 0, and so is
-    everything where nothing was learned. Languages that tie are taken by name. Only doc_id and text are read."""
+    everything where nothing was learned. Languages that tie are taken by name. Repeated rows and rows without an id are
+    answered like any other; texts of any length are read whole, with a bounded number of words held. Only doc_id and text are
+    read."""
     return documents.select("doc_id", prediction(documents, model).alias("p")).select("doc_id", "p.*")
 
 
 def identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is told with a score of at least `least`, by a model that learns from them. Columns of the
-    input; lang stays what it was."""
-    found = documents.withColumn("_lang", prediction(documents, fit(documents)))
-    return found.where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= least)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    input, whatever their names; lang stays what it was. Rows with a null or empty text go, repeated rows stay or go alike."""
+    name = fresh(documents) + "lang"
+    found = documents.withColumn(name, prediction(documents, fit(documents)))
+    return found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= least)).select(*columns_of(documents))

@@ -103,10 +103,79 @@ def test_languages(spark):
 
 
 def test_language_bounds(spark):
+    """A language keeps words whatever their frequencies are: also one of which every word is another."""
     d = documents(spark, [(i, f"alpha beta w{i}" if i % 10 else "gamma", "en" if i % 10 else "de", "a") for i in range(600)])
-    small = langid.fit(d, sample=40, words=5)
-    assert small.languages == ["de", "en"] and len(small.tables[0][0]) <= 10 and {"alpha", "beta", "gamma"} <= set(small.tables[0][0])
+    model = langid.fit(d, sample=40, words=5)
+    assert model.languages == ["de", "en"] and len(model.tables[0][0]) <= 10 and {"alpha", "beta", "gamma"} <= set(model.tables[0][0])
     assert langid.most_within({("a", 0): 3, ("a", 1): 3, ("b", 0): 9}, 5) == {"a": 0}
+    letters = "абвгдежзик"
+    many = [(i, " ".join("".join(letters[int(x)] for x in str(1000 * i + k)) for k in range(30)) if i % 2 else "the cat sat", "xx" if i % 2 else "en", "a") for i in range(400)]
+    d = documents(spark, many)
+    model = langid.fit(d, words=200)
+    assert model.languages == ["en", "xx"] and 100 < sum(x[0] in letters for x in model.tables[0][0]) <= 200
+    assert all(r["lang_pred"] == many[r["doc_id"]][2] for r in langid.identify(d, model).collect())
+
+
+def test_letters_are_one_kind(spark):
+    """Letters are those of Unicode's category L, in training and in answers."""
+    d = documents(spark, [(1, "² ½ ① Ⅷ ٣ 12 _", "en", "a"), (2, "abc ² def", "en", "a")] + [(i, "abc def ½ ghi", "en", "a") for i in range(3, 30)])
+    model = langid.fit(d)
+    assert set(model.tables[0][0]) == {"abc", "def", "ghi"}
+    got = {r["doc_id"]: r for r in langid.identify(d, model).collect()}
+    assert (got[1]["lang_pred"], got[1]["score"]) == ("und", 0.0) and got[2]["lang_pred"] == "en"
+    import unicodedata
+
+    assert all(bool(langid.letters(chr(c))) == (unicodedata.category(chr(c))[0] == "L") for c in range(0x30000) if not 0xD800 <= c < 0xE000)
+
+
+def brute_language(counts, languages, text):
+    """The scores of a text, written out: words by their log frequency, others by the longest n-grams that are known."""
+    import math
+    import re
+    import unicodedata
+
+    lowered, cut_out = text.lower(), []
+    for m in re.finditer(r"L+", "".join("L" if unicodedata.category(c)[0] == "L" else " " for c in lowered)):
+        cut_out += [lowered[k : min(k + 64, m.end())] for k in range(m.start(), m.end(), 64)]
+
+    def grams(word, n):
+        marked = word if n == 1 else "<" + word + ">"
+        return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+    def frequencies(of):
+        seen = {}
+        for language, word, n in counts:
+            for x in of(word):
+                seen.setdefault(x, {})
+                seen[x][language] = seen[x].get(language, 0) + n
+        return seen
+
+    tables = {n: frequencies((lambda w, n=n: grams(w, n)) if n else (lambda w: [w])) for n in range(6)}
+    for n in range(2, 6):
+        tables[n] = {k: v for k, v in tables[n].items() if sum(v.values()) > 1}
+    totals = {n: {x: sum(v.get(x, 0) for v in t.values()) + 0.5 * max(1, len(t)) for x in languages} for n, t in tables.items()}
+    sums = dict.fromkeys(languages, 0.0)
+    for word in cut_out:
+        for n in (0, 5, 4, 3, 2, 1):
+            if found := [x for x in ([word] if n == 0 else grams(word, n)) if x in tables[n]]:
+                for x in languages:
+                    sums[x] += sum(math.log((tables[n][g].get(x, 0) + 0.5) / totals[n][x]) for g in found) / len(found)
+                break
+    if not cut_out:
+        return "und", 0.0
+    best = min(languages, key=lambda x: (-sums[x], x))
+    return best, 1 / sum(math.exp((sums[x] - sums[best]) / math.sqrt(len(cut_out))) for x in languages)
+
+
+def test_language_scores_by_brute_force(spark, sf_dir):
+    counts = [("a", "river", 9), ("a", "stone", 2), ("b", "rivière", 5), ("b", "stein", 3), ("b", "stone", 1), ("c", "река", 4), ("c", "длинно" * 20, 1)]
+    scorer = langid.Scorer(langid.Model(["a", "b", "c"], counts))
+    texts = ["", "12 ②", "River stone", "rivers, rivières; STEINE!", "реками x", "длинно" * 20, "ж", "a²b stone½stein", "“river”—stein", "İstone"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 2000").limit(40).collect()]
+    for text in texts:
+        language, score = brute_language(counts, ["a", "b", "c"], text)
+        got = scorer.predict(text)
+        assert got[1] == pytest.approx(score, abs=1e-4) and (got[0] == language or score < 0.3334), text
 
 
 def test_backoff_order():
