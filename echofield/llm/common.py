@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,6 +52,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """Like cut, as a compressed table for rows that are many, and its folder, which the caller removes."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder), folder
+
+
 #: Rows with whole texts that Python gets at a time.
 TEXT_ROWS = 1000
 

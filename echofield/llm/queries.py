@@ -25,8 +25,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage's place is in words, its end exclusive."""
-    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("tag")
+    """A passage's place is in words, its end exclusive; class_id is the smallest document that links of passages lead to."""
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.join(passages.classes(found), "doc_id").select("doc_id", "ref_doc_id", "start", "end", "ref_start", "ref_end", "similarity", "class_id")
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

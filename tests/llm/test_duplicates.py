@@ -188,6 +188,62 @@ def test_windows_of_fifty_words_are_all_found(spark):
     assert len(seen) > 1000
 
 
+def test_passages_do_not_depend_on_partitions(spark, monkeypatch):
+    """Nor on chunks; and documents that share a window of fifty words are in one class."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    rows = [sorted(tuple(map(str, r)) for r in passages.repeated_passages(d.repartition(n, "doc_id")).collect()) for n in (1, 8, 64)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 50
+    class_of = {r["doc_id"]: r["class_id"] for r in passages.classes(passages.repeated_passages(d)).collect()}
+    holders = defaultdict(set)
+    for r in d.collect():
+        w = r["text"].encode().lower().split()
+        for i in range(len(w) - 49):
+            holders[tuple(w[i : i + 50])].add(r["doc_id"])
+    shared = [ids for ids in holders.values() if len(ids) > 1]
+    pairs = {(a, b) for ids in shared for a in ids for b in ids if a < b}
+    assert len(pairs) > 100 and all(class_of[a] == class_of[b] for a, b in pairs)
+
+
+def test_links_by_brute_force():
+    """Chunks of any size, against the first and last holder of each hash in other texts."""
+    rng = random.Random(3)
+    places = sorted({(rng.randrange(12) ** 2, rng.randrange(30), rng.randrange(9)) for _ in range(300)})
+    held = defaultdict(list)
+    for h, doc, at in places:
+        held[h].append((doc, at))
+    want = set()
+    for h, group in held.items():
+        group.sort()
+        for x in group:
+            want |= {(x, y) for y in (group[0], group[-1]) if x[0] not in (y[0], group[0][0])}
+    for size in (1, 7, 50, 1000):
+        mixed = places[:]
+        rng.shuffle(mixed)
+        parts = [passages._in_chunk(*(np.array(c, dtype=t) for c, t in zip(zip(*mixed[i : i + size]), (np.uint64, np.int64, np.int64)))) for i in range(0, len(mixed), size)]
+        rows = sorted((tuple(r.values()) for b in parts for r in b.to_pylist()), key=lambda r: (r[0], r[2], r[3]))
+        batches = [passages.batch_of(zip(*rows[i : i + 13]), passages._PLACE) for i in range(0, len(rows), 13)]
+        out = [tuple(r.values()) for b in passages._rank(iter(batches)) for r in b.to_pylist()]
+        ends = {h: ((a, b), (c, d)) for kind, h, a, b, c, d in out if kind == 1}
+        got = {((a, b), (c, d)) for kind, _, a, b, c, d in out if kind == 0}
+        for kind, h, a, b, _, _ in out:
+            if kind == 2:
+                got |= {((a, b), y) for y in ends[h] if a not in (y[0], ends[h][0][0])}
+        assert got == want
+    h = np.array([5, 3, 5, 5, 3], dtype=np.uint64)
+    n = passages.numbered(h)
+    assert n[0] == 5 and n[1] == 3 and len(set(n.tolist())) == 5 and passages.numbered(h[[2, 1, 0]])[2] == n[2]
+
+
+def test_many_regions_of_one_text(spark):
+    """A long text that many others take from; its regions are not gathered in one row, and each passage is found."""
+    rng = random.Random(8)
+    book = prose(rng, 9000)
+    rows = [(0, book)] + [(i, prose(rng, 30) + book[i * 43 : i * 43 + 60 + i % 50] + prose(rng, 30)) for i in range(1, 200)]
+    d = documents(spark, [(i, " ".join(w), "en", "a") for i, w in rows])
+    got = {r["doc_id"]: r for r in passages.repeated_passages(d).where("ref_doc_id = 0").collect()}
+    assert all((got[i]["start"], got[i]["end"], got[i]["ref_start"]) == (30, 90 + i % 50, i * 43) for i in range(1, 200))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
 def test_chains_are_collinear(matches):

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -299,9 +300,62 @@ def test_mined_rules_block(spark):
 
 
 def test_rules_are_pruned():
-    found = [(["a"], 0.9), (["a", "b"], 0.95), (["c", "b"], 0.5), (["c", "d"], 0.8)]
-    rules = urlrules.pruned(found, 0.6)
-    assert set(rules.sets) == {frozenset("a"), frozenset("cd")} and sum(map(len, rules.index().values())) == 2
+    rules = urlrules.pruned([["a"], ["a", "b"], ["c", "d"], ["b", "c", "d"]])
+    assert set(rules.sets) == {frozenset("a"), frozenset("cd")} and sum(map(len, rules.index.values())) == 2
+    assert rules.of({"a", "x"}) == [0] and rules.of({"c", "d", "a"}) and rules.of({"c"}) == []
+
+
+def test_rules_by_brute_force(spark):
+    """Against all sets of tokens of all pages."""
+    from itertools import combinations
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(700):
+        tokens = sorted(rng.sample("abcdefgh", rng.randrange(1, 6)))
+        odds = 0.9 if {"a", "b"} <= set(tokens) else 0.6 if "c" in tokens else 0.1
+        rows.append((i, tokens, rng.random() < odds))
+    mining, confirming = ([r for r in rows if (fold_of(r[0]) == 1) == x] for x in (False, True))
+    base, again = (sum(r[2] for r in x) / len(x) for x in (mining, confirming))
+    covers = {}
+    for _, tokens, bad in mining:
+        for k in range(1, 6):
+            for s in combinations(tokens, k):
+                n, m = covers.get(frozenset(s), (0, 0))
+                covers[frozenset(s)] = n + 1, m + bad
+
+    def low(bad, n):
+        z, p = 1.96, bad / n
+        return (p + z * z / 2 / n - z * np.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+    sure = sorted((s for s, (n, bad) in covers.items() if n >= 5 and low(bad, n) > base), key=lambda s: (-low(covers[s][1], covers[s][0]), len(s), sorted(s)))
+    for _ in range(10):
+        count = {True: Counter(), False: Counter()}
+        bads = {True: Counter(), False: Counter()}
+        for side, part in ((False, mining), (True, confirming)):
+            for _, tokens, bad in part:
+                if first := next((s for s in sure if s <= set(tokens)), None):
+                    count[side][first] += 1
+                    bads[side][first] += bad
+        kept = [s for s in sure if count[False][s] and low(bads[False][s], count[False][s]) > base and bads[True][s] > again * count[True][s]]
+        if kept == sure:
+            break
+        sure = kept
+    want = {s for s in sure if not any(t < s for t in sure)}
+    got = urlrules.mine(spark.createDataFrame(rows, "page_id long, tokens array<string>, bad boolean").repartition(5))
+    assert set(got.sets) == want and {frozenset("ab"), frozenset("c")} <= want
+
+
+def test_very_long_urls(spark):
+    """A host of many labels, a path of many words: tokens stay a few times as long as the url, and sets of them are few."""
+    host = ".".join("ab" for _ in range(20_000))
+    path = "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    pages = [(i, f"http://{host}/{path}" if i % 3 else f"http://x.org/{i}") for i in range(60)]
+    d = spark.createDataFrame(pages, "page_id long, url string")
+    assert all(sum(map(len, r["tokens"])) < 4 * len(r["url"]) + 400 for r in urlrules.parsed(d).collect())
+    marks = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(d, marks).collect()}
+    assert all(got[i] == ("block" if i % 3 else "allow") for i in got)
 
 
 def vectors(spark, rows):
