@@ -8,9 +8,7 @@ scores are the sums over its words.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter, defaultdict
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +28,25 @@ LONGEST, SMOOTHING = 5, 0.5
 #: Letters of a word at most; a longer run is cut, here and in training alike.
 LONGEST_WORD = 64
 #: Chunks of text whose scores a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 UNKNOWN = "und"
 
 
-@cache
-def _words() -> re.Pattern:
-    """Letters are the characters of Unicode's category L: of what is alphanumeric here, all but the numbers."""
-    numbers = "".join(chr(c) for c in range(0x110000) if chr(c).isalnum() and unicodedata.category(chr(c))[0] != "L")
-    return re.compile(f"[^\\W_{numbers}]{{1,{LONGEST_WORD}}}")
-
-
-#: ASCII characters that are no letters part chunks; the letters of other scripts are looked for inside a chunk.
-_PARTING = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalpha()})
+_RUNS = re.compile(r"[^\W\d_]+")
+#: ASCII bytes that are no letters part chunks; the letters of other scripts are looked for inside a chunk.
+_PARTING = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def letters(text: str | None) -> list[str]:
-    """The words of a text: its runs of letters, in lower case."""
-    return _words().findall(text.lower()) if text else []
+    """The words of a text: its runs of letters, which are the characters of Unicode's category L, in lower case."""
+    out = []
+    for run in _RUNS.findall(text.lower()) if text else ():
+        if len(run) <= LONGEST_WORD and run.isalpha():
+            out.append(run)
+        else:  # numbers that are no digits, as in fractions, or a long run
+            parts = "".join(c if c.isalpha() else " " for c in run).split()
+            out += [part[i : i + LONGEST_WORD] for part in parts for i in range(0, len(part), LONGEST_WORD)]
+    return out
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -75,10 +74,16 @@ class Model:
             self.tables.append((dict(zip(keys, range(len(keys)))), np.log((seen + SMOOTHING) / total).astype(np.float32)))
 
     def word(self, word: str) -> np.ndarray:
-        for length in (0, *range(LONGEST, 0, -1)):
+        places, scores = self.tables[0]
+        if (at := places.get(word)) is not None:
+            return scores[at]
+        marked = f"<{word}>"
+        for length in range(min(LONGEST, len(marked)), 0, -1):
             places, scores = self.tables[length]
-            if found := [p for x in ([word] if not length else grams(word, length)) if (p := places.get(x)) is not None]:
-                return scores[found].mean(axis=0)
+            of = marked if length > 1 else word
+            found = [p for i in range(len(of) - length + 1) if (p := places.get(of[i : i + length])) is not None]
+            if found:
+                return np.add.reduce(scores[found], axis=0) / np.float32(len(found))
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -89,18 +94,19 @@ class Scorer(dict):
         self.model, self.scores = model, np.zeros((REMEMBERED, len(model.languages) + 1))
 
     def __missing__(self, chunk: str) -> int:
-        row = np.zeros(len(self.model.languages) + 1)
-        for word in letters(chunk):
+        place = len(self)
+        row = self.scores[place]
+        row[:] = 0
+        for word in [chunk] if len(chunk) <= LONGEST_WORD and chunk.isalpha() else letters(chunk):
             row[:-1] += self.model.word(word)
             row[-1] += 1
-        self.scores[len(self)] = row
-        self[chunk] = place = len(self)
+        self[chunk] = place
         return place
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages:
             return UNKNOWN, 0.0
-        chunks, sums = text.lower().translate(_PARTING).split(), np.zeros(len(self.model.languages) + 1)
+        chunks, sums = text.lower().encode().translate(_PARTING).decode().split(), np.zeros(len(self.model.languages) + 1)
         for at in range(0, len(chunks), REMEMBERED // 4):
             part = chunks[at : at + REMEMBERED // 4]
             if len(self) + len(part) > REMEMBERED:
