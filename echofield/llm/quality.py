@@ -153,7 +153,8 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed, anomaly and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated windows. Null and empty texts fail. Repeated rows
-    are judged alike; without labels of both kinds only the base rules drop. Only doc_id and text are read.
+    are judged alike, rows without an id like any other, and texts of any length are read whole; without labels of both kinds
+    only the base rules drop. An empty table gives an empty result. Only doc_id and text are read.
     """
     counted = cut(measured(documents))
     rows = cut(scored(counted, fit(counted, labels)))

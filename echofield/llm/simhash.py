@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from .common import by_text, cut
+from .common import by_text, columns_of, cut, fresh
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -87,17 +87,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents less near copies: of each component the row with the smallest id stays, rows without an id only where a
-    component has no other. Columns of the input."""
-    rows = by_text(documents).withColumn("_fp", fingerprints("text"))
-    marked = cut(rows.select("doc_id", F.col("_fp").alias("fp")))
+    component has no other; of rows that share that id and fingerprint one. Null and empty texts are copies of one another.
+    Columns of the input, whatever their names. An empty table gives an empty result."""
+    mine = fresh(documents)
+    fp, gone_fp, gone_id, nth = (mine + x for x in ("fp", "gone_fp", "gone_id", "nth"))
+    rows = by_text(documents).withColumn(fp, fingerprints("text"))
+    marked = cut(rows.select("doc_id", F.col(fp).alias("fp")))
     several = component_of(marked)
     members = marked.distinct().join(several, "fp").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull())
-    gone = cut(members.where("doc_id IS NOT NULL OR component_id IS NOT NULL").select(F.col("fp").alias("_gone_fp"), F.col("doc_id").alias("_gone_id")).distinct())
-    kept = rows.join(gone, (F.col("_fp") == F.col("_gone_fp")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = cut(members.where("doc_id IS NOT NULL OR component_id IS NOT NULL").select("fp", "doc_id").distinct().toDF(gone_fp, gone_id))
+    kept = rows.join(gone, (F.col(fp) == F.col(gone_fp)) & F.col("doc_id").eqNullSafe(F.col(gone_id)), "left_anti")
     # Rows that are left with the id of their component's first row: one of them stays.
-    place = W.partitionBy("doc_id", "_fp").orderBy("text")
-    single = kept.withColumn("_place", F.row_number().over(place)).where("_place = 1")
-    return single.select(*[F.col(f"`{c}`") for c in documents.columns])
+    place = W.partitionBy("doc_id", fp).orderBy("text")
+    return kept.withColumn(nth, F.row_number().over(place)).where(F.col(nth) == 1).select(*columns_of(documents))
 
 
 def component_of(marked: DataFrame) -> DataFrame:

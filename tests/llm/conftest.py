@@ -1,12 +1,12 @@
 import pytest
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, fp long, start long, tag string"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, fp long, start long, tag string, `_lang` string, `_fp` string, `__nth` string, `_words` string, `_spans` string, `_text` string, `_mix` string, `h.i` string"
 
 
 def documents(spark, rows):
     """Rows of (doc_id, text, lang, source), with columns whose names operators use themselves."""
-    return spark.createDataFrame([(i, t, l, s, len(t or ""), -1, -1.0, -1, -1, "mine") for i, t, l, s in rows], DOCUMENTS)
+    return spark.createDataFrame([(i, t, l, s, len(t or ""), -1, -1.0, -1, -1, *["mine"] * 9) for i, t, l, s in rows], DOCUMENTS)
 
 
 @pytest.fixture(scope="session")

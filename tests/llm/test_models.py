@@ -68,6 +68,56 @@ def test_toxicity_learns_from_whole_texts():
     assert np.mean([(scorer.score(t) >= 0.5) == bool(y) for t, y in rows(2)]) > 0.9
 
 
+def test_toxicity_scores_by_brute_force():
+    """A document's score, written out from the weights of n-grams."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -0.3)
+
+    def word(w):
+        marked = f"<{w}>".encode()
+        found = [marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)] or [marked]
+        return sum(model.weights[zlib.crc32(g) % toxicity.BUCKETS] for g in found) / len(found)
+
+    for text in ("", None, "a", "You IDIOT!", "é ü " * 9, " ".join(f"w{i} x{i % 5}" for i in range(40)), " ".join(f"w{i % 91}" for i in range(333))):
+        words = toxicity.folded(text)
+        spans = {(min(a, max(0, len(words) - 64)), min(a, max(0, len(words) - 64)) + 64) for a in range(0, max(1, len(words)), 32)}
+        worst = max((sum(map(word, words[a:b])) / max(1, len(words[a:b])) for a, b in spans), default=0.0)
+        assert toxicity.Scorer(model).score(text) == pytest.approx(1 / (1 + np.exp(-(worst - 0.3))))
+
+
+def test_toxicity_gradients():
+    """Of the loss written out, by small steps along a hundred coordinates."""
+    rng = np.random.default_rng(5)
+    words = [toxicity.buckets(w) for w in ("idiot", "idiots", "stone", "a", "river", "rivers")]
+    flat = [rng.integers(0, 6, n) for n in (3, 1, 5, 2)]
+    bags, truth, rows = toxicity.Bags(flat, words), np.array([1, 0, 0]), np.array([0, 2, 3])
+    x = [rng.normal(0, 0.5, shape) for shape in ((toxicity.BUCKETS, toxicity.DIM), (toxicity.DIM, 2), (2,))]
+
+    def loss(vectors, softmax, bias):
+        total = toxicity.DECAY / 2 * (softmax**2).sum()
+        for r, y in zip(rows, truth):
+            window = np.mean([np.mean([vectors[b] for b in words[w]], axis=0) for w in flat[r]], axis=0)
+            logits = window @ softmax + bias
+            total += (0.5 if y else 0.25) * (np.log(np.exp(logits).sum()) - logits[y])
+        return total
+
+    grads = bags.slopes(*x, rows, truth)
+    used = sorted({b for w in words for b in w})
+    for k in range(3):
+        for _ in range(35):
+            at = (rng.choice(used), rng.integers(toxicity.DIM)) if k == 0 else tuple(rng.integers(n) for n in x[k].shape)
+            up, down = ([y.copy() for y in x] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert (loss(*up) - loss(*down)) / 2e-5 == pytest.approx(grads[k][at], abs=1e-8)
+
+
+def test_toxicity_sample_is_bounded():
+    sizes = [(i, i % 2, 100 if i != 4 else 10**9) for i in range(2000)]
+    taken = toxicity.within_bytes(sizes, 64 * 100)
+    assert sum(i % 2 for i in taken) == 64 and len(taken) == 128 and 4 not in taken and taken[:3] == [0, 1, 2]
+
+
 def test_toxicity_without_classes():
     assert toxicity.Scorer(toxicity.train(["a b"], [1])).score("a") > 0.5
     assert 0 <= toxicity.Scorer(toxicity.train([], [])).score(None) <= 1
@@ -234,6 +284,50 @@ def test_forest_isolates():
     assert quality.Forest(rows[:1]).score(rows[:3]).tolist() == [0.5] * 3 and quality.Forest(np.zeros((50, 3))).score(rows[:2]).shape == (2,)
 
 
+def test_forest_by_brute_force():
+    """Path lengths walked node by node, and what an unsuccessful search adds at a leaf."""
+    rng = np.random.default_rng(1)
+    rows = rng.normal(0, 1, (60, 3)).round(1)
+    forest = quality.Forest(rows, trees=9, size=16)
+
+    def longest(n):
+        return 0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    for row, score in zip(rows, forest.score(rows)):
+        total = 0
+        for feature, split, left, right, length in forest.trees:
+            at = depth = 0
+            while feature[at] >= 0:
+                at, depth = (left if row[feature[at]] < split[at] else right)[at], depth + 1
+            assert any(length[at] == pytest.approx(depth + longest(n)) for n in range(1, 17))
+            total += length[at]
+        assert score == pytest.approx(2 ** (-total / 9 / longest(16)))
+
+
+def test_quality_threshold_by_brute_force(spark):
+    """Every threshold tried on every labelled row, and what is kept by the best."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    rows = queries.op8_quality(spark, d).join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left").collect()
+    marked = [(r["anomaly"], r["quality"]) for r in rows if not r["base_failed"] and r["quality"] is not None]
+    good, bad = (np.array([a for a, q in marked if q == x]) for x in (1, 0))
+    gains = [(np.mean(bad >= k / 2000) - 25 * np.mean(good >= k / 2000), -k) for k in range(2002)]
+    limit = -max(gains)[1] / 2000 if max(gains)[0] > 0 else 2.0
+    assert all(r["kept"] == (not r["base_failed"] and r["anomaly"] < limit) for r in rows)
+
+
+def test_quality_of_held_out_labels(spark):
+    """Learned without a fifth of the labels: of those the bad go and the good stay."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    from echofield.llm.common import held_out
+
+    apart = held_out(F.col("doc_id"))
+    got = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), labels.where(~apart)).join(labels.where(apart), "doc_id").where("NOT base_failed").collect()
+    kept = {q: np.mean([r["kept"] for r in got if r["quality"] == q]) for q in (0, 1)}
+    assert kept[0] < 0.15 and kept[1] > 0.98
+
+
 def test_quality_keeps_good(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op8_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
