@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 
@@ -43,6 +44,8 @@ class Geometry:
     def __post_init__(self):
         object.__setattr__(self, "percentile", min(1.0, max(0.0, self.percentile)))
         object.__setattr__(self, "window_m", positive(self.window_m, 0.4))
+        for name in ("forward_sign", "left_sign"):
+            object.__setattr__(self, name, 1 if getattr(self, name) >= 0 else -1)
 
     @property
     def stations(self) -> list[tuple[str, float, int]]:
@@ -60,6 +63,10 @@ class Equipment:
     angle_alpha: float = 0.1
     max_angle_jump_deg: float = 3.0
 
+    def __post_init__(self):
+        for name in ("distance_alpha", "angle_alpha"):
+            object.__setattr__(self, name, min(1.0, max(0.0, getattr(self, name))))
+
 
 @dataclass(frozen=True)
 class Tracker:
@@ -99,10 +106,21 @@ class Fusion:
     leaf: float = 0.05
     min_points: int = 0
     drop_empty: bool = True
+    queue: int = 20
+    tf_wait_s: float = 0.05
+    output_frame: str = "base_link"
+    topics: tuple[str, ...] = ("left", "right", "rear")
 
     def __post_init__(self):
-        if self.slop_s <= 0:
-            object.__setattr__(self, "slop_s", 0.05)
+        """Numbers that make no sense fall back to their defaults; a structure that makes none is an error."""
+        if len(self.topics) not in (2, 3):
+            raise ValueError("two or three sensors are fused")
+        if not all(self.topics) or not self.output_frame:
+            raise ValueError("topics and the output frame need names")
+        for name, default in (("slop_s", 0.05), ("leaf", 0.05), ("tf_wait_s", 0.05)):
+            object.__setattr__(self, name, positive(getattr(self, name), default))
+        object.__setattr__(self, "queue", self.queue if self.queue >= 1 else 20)
+        object.__setattr__(self, "min_points", max(0, self.min_points))
 
 
 @dataclass(frozen=True)
@@ -132,3 +150,19 @@ def resolve(name: str, *sources: dict, default=None):
         if (flat := source.get(name.rpartition(".")[2])) is not None and not isinstance(flat, dict):
             return flat
     return default
+
+
+#: The sensor families and the names that a site's file may use for them.
+FAMILIES = {"tm16": "tm16", "timoo": "tm16", "tmlidar": "tmlidar", "timoo_sdk": "timoo_sdk"}
+
+
+def sensor_family(text: str = "", override: str = "", default: str = "tm16") -> str:
+    """The sensor family: the override, or what the first driver_family line of a site's file says, or the default. A name that
+    is not allowed is an error."""
+    found = re.search(r"(?m)^[ \t]*driver_family[ \t]*:([^#:\n]*)", text)
+    name = override or (found[1].strip(" \t\"'") if found else "")
+    if not name:
+        return default
+    if name not in FAMILIES:
+        raise ValueError(f"{name} is no sensor family; one of {', '.join(sorted(FAMILIES))} is")
+    return FAMILIES[name]

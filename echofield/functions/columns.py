@@ -152,3 +152,24 @@ def colour(mode: str, x: Column, y: Column, z: Column, intensity: Column, lidar:
 def shown(c: Column, decimals: int) -> Column:
     """A number for display, `---` where there is none."""
     return F.when(finite(c), F.format_string(f"%.{decimals}f", c)).otherwise("---")
+
+
+def axis_at_height(point: tuple[Column, ...], axis: tuple[Column, ...], z: Column) -> tuple[Column, Column, Column]:
+    """Where an axis (a point and a direction of any length) passes a height; null where it runs along it."""
+    length = norm(*axis)
+    unit = [a / length for a in axis]
+    t = F.when(F.abs(unit[2]) >= d(1e-9), (z - point[2]) / unit[2])
+    return tuple(p + t * u for p, u in zip(point, unit))
+
+
+def radial_residual(at: tuple[Column, ...], point: tuple[Column, ...], axis: tuple[Column, ...], radius: Column) -> Column:
+    """How far a place lies outside a cylinder's surface; negative inside."""
+    length = norm(*axis)
+    unit, gap = [a / length for a in axis], [x - p for x, p in zip(at, point)]
+    along = gap[0] * unit[0] + gap[1] * unit[1] + gap[2] * unit[2]
+    return norm(*[g - along * u for g, u in zip(gap, unit)]) - radius
+
+
+def displacement(cx: Column, cy: Column, rms: Column, zero: tuple[float, float]) -> dict[str, Column]:
+    """How far a centre is from the zero position, and the covariance that its residual stands for."""
+    return {"dx": d(zero[0]) - cx, "dy": d(zero[1]) - cy, "covariance_xx": rms * rms, "covariance_xy": d(0), "covariance_yy": rms * rms}

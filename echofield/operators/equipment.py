@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Equipment, Geometry
 from ..functions.columns import d, finite
+from .ordered import fold, smooth_angle, smooth_distance
 from .robust import clearance, ground_region, in_ground, least_squares_plane, ransac_plane, station_aggregates, wall_aggregates, with_yaw
+from .windows import seen_and_missed
 
 STATIONS = ("left_front", "left_rear", "right_front", "right_rear")
 
@@ -88,3 +92,45 @@ def jump_downgrade(status: Column, reason: Column, attitude_valid: Column, jumpe
 
 def diagnostics_level(status: Column) -> Column:
     return F.when(status == "GOOD", 0).when(status == "DEGRADED", 1).otherwise(2)
+
+
+ANGLES = (("roll", False), ("pitch", False), ("yaw", True))
+_FILTERED = [*(f"{a}_deg double" for a, _ in ANGLES), *(f"{s}_{c}" for s in STATIONS for c in ("mm double", "valid boolean", "reason string")), "attitude_valid boolean", "distances_valid boolean", "status string", "reason string"]
+
+
+def filter_step(memory: dict, row: dict, cfg: Equipment) -> tuple:
+    """One state through the filters, angles before distances. Invalid values pass and leave the memory alone."""
+    out = []
+    for angle, wraps in ANGLES:
+        value = row[f"{angle}_deg"]
+        if row[f"{angle}_valid"] and value is not None and math.isfinite(value):
+            value, _ = smooth_angle(memory.setdefault(angle, {}), value, cfg.angle_alpha, cfg.max_angle_jump_deg, wraps)
+        out.append(value)
+    attitude, every, jumped = any(row[f"{a}_valid"] for a, _ in ANGLES), True, False
+    for s in STATIONS:
+        value, valid, reason = (row[f"{s}_{c}"] for c in ("mm", "valid", "reason"))
+        if valid:
+            value, valid = smooth_distance(memory.setdefault(s, {}), value, cfg.distance_alpha, 1000 * cfg.max_distance_jump_m)
+            reason, jumped = (reason, jumped) if valid else ("DISTANCE_JUMP_REJECTED", True)
+        out += [value, bool(valid), reason]
+        every = every and bool(valid)
+    status, reason = row["status"], row["reason"]
+    if jumped and reason in ("none", "PARTIAL_VALID"):
+        status, reason = "DEGRADED" if attitude else "INVALID", "DISTANCE_JUMP_REJECTED"
+    return (*out, attitude, every, status, reason)
+
+
+def filtered(states: DataFrame, cfg: Equipment = Equipment(), by: str = "stream", order: tuple[str, ...] = ("frame_no",)) -> DataFrame:
+    """States with smoothed angles and distances; a distance that jumps is invalid and may lower the status. by, order, angles,
+    the stations' mm, valid and reason, attitude_valid, distances_valid, status, reason."""
+    reads = (*(f"{a}_{c}" for a, _ in ANGLES for c in ("deg", "valid")), *(f"{s}_{c}" for s in STATIONS for c in ("mm", "valid", "reason")), "status", "reason")
+    return fold(states, by, order, dict, lambda m, r: filter_step(m, r, cfg), ", ".join(_FILTERED), reads)
+
+
+def diagnostics(rows: DataFrame, by: str = "stream", order: str = "seq") -> DataFrame:
+    """Diagnostic messages: level, the reason as the message, and counters and values as text. rows: by, order, status, detected,
+    inliers, rms, reason."""
+    counted = seen_and_missed(rows, by=by, order=order)
+    values = {"frames_seen": "frames_seen", "frames_missed": "frames_missed", "status": "status", "inliers": "inliers", "residual_rms": "rms"}
+    pairs = F.create_map(*[x for k, c in values.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    return counted.select(by, order, diagnostics_level(F.col("status")).alias("level"), F.col("reason").alias("message"), pairs.alias("values"))

@@ -27,14 +27,19 @@ def as_of(left: DataFrame, right: DataFrame, by: str, stamp: str, value: str, ri
     return found.select("_row.*", F.col("_last").alias(value))
 
 
-def synchronised(clouds: DataFrame, sensors: list[str], slop: float, by: str = "stream") -> DataFrame:
+def synchronised(clouds: DataFrame, sensors: list[str], slop: float, by: str = "stream", pivot_sensor: str | None = None) -> DataFrame:
     """Groups of one cloud from each sensor whose stamps span at most slop; each cloud is used once.
 
-    Rule: the first sensor is the pivot. For each of its clouds and each other sensor the nearest stamp within slop is chosen
+    Rule: the first sensor, or the one named, is the pivot: the one with the fewest clouds makes the fewest candidates. For each of its clouds and each other sensor the nearest stamp within slop is chosen
     (ties: earlier, then lower seq); a group stays if it is the best one, by span and then pivot stamp, for each cloud in it.
     Stamps are bucketed by slop, so candidates come from an equi-join on three neighbouring buckets, never a cross join.
     clouds: stream, sensor, seq, stamp.
     """
+    if pivot_sensor is not None:
+        at = sensors.index(pivot_sensor)
+        turned = synchronised(clouds, [pivot_sensor, *sensors[:at], *sensors[at + 1 :]], slop, by)
+        place = {s: i for i, s in enumerate([pivot_sensor, *sensors[:at], *sensors[at + 1 :]])}
+        return turned.select(by, "stamp", "span", *[F.col(f"seq_{place[s]}").alias(f"seq_{i}") for i, s in enumerate(sensors)])
     bucket = F.floor(F.col("stamp") / F.lit(slop)).cast("long")
     pivot = clouds.where(F.col("sensor") == sensors[0]).select(by, F.col("seq").alias("seq_0"), F.col("stamp").alias("stamp_0"))
     out = pivot
@@ -64,3 +69,10 @@ def preferred(rows: DataFrame, source: str, by: str = "stream", order: str = "se
     keys = [by, session] if session else [by]
     seen = F.max((F.col("source") == source).cast("int")).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
     return rows.withColumn("_seen", seen).where((F.col("source") == source) | (F.col("_seen") == 0)).drop("_seen")
+
+
+def under_settings(rows: DataFrame, settings: DataFrame, names: tuple[str, ...], by: str, stamp: str, defaults: dict[str, object]) -> DataFrame:
+    """Rows with the settings that held at their stamp: those of the last change at or before it, the defaults before any.
+    settings: by, at, names."""
+    found = as_of(rows, settings.select(by, "at", F.struct(*names).alias("_set")), by, stamp, "_set")
+    return found.withColumns({c: F.coalesce(F.col("_set")[c], F.lit(defaults[c])) for c in names}).drop("_set")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..config import Path, Tracker
 
@@ -63,9 +65,9 @@ STATUS_TEXT = ("GOOD", "DEGRADED", "LOST")
 
 
 def track(state: Track, row: dict, cfg: Tracker) -> tuple:
-    """One measurement or miss: cx, cy, vx, vy, status."""
+    """One measurement or miss: cx, cy, vx, vy, status. A row with a null in its measurement is a miss."""
     t, x, y = row["stamp"], row["cx"], row["cy"]
-    usable = bool(row["detected"]) and row["inliers"] >= cfg.min_inliers and row["rms"] <= cfg.max_rms and math.isfinite(x) and math.isfinite(y)
+    usable = bool(row["detected"]) and None not in (x, y, row["inliers"], row["rms"]) and row["inliers"] >= cfg.min_inliers and row["rms"] <= cfg.max_rms and math.isfinite(x) and math.isfinite(y)
     since = t - state.measured
     if usable and state.init:
         jump = math.hypot(x - state.cx, y - state.cy)
@@ -145,8 +147,8 @@ def throttle(rows: DataFrame, stamp: str, rate: float, by: str = "stream", order
     return fold(rows, by, order, dict, step, "sent_at double", (stamp,))
 
 
-def path_steps(rows: DataFrame, min_step: float, by: str = "stream", order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """The rows at least a step away from the last kept one; x, y, z."""
+def path_steps(rows: DataFrame, min_step: float, by: str = "stream", order: tuple[str, ...] = ("seq",), most: int = 0) -> DataFrame:
+    """The rows at least a step away from the last kept one; x, y, z. Of each stream the newest `most`, or all for 0."""
 
     def step(state: dict, row: dict) -> tuple | None:
         p = row["x"], row["y"], row["z"]
@@ -155,7 +157,14 @@ def path_steps(rows: DataFrame, min_step: float, by: str = "stream", order: tupl
         state["at"] = p
         return p
 
-    return fold(rows, by, order, dict, step, "px double, py double, pz double", ("x", "y", "z"))
+    kept = fold(rows, by, order, dict, step, "px double, py double, pz double", ("x", "y", "z"))
+    return newest(kept, most, (by,), order) if most > 0 else kept
+
+
+def newest(rows: DataFrame, most: int, by: tuple[str, ...] = ("stream",), order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The newest rows of each key, as a bounded queue that drops the oldest holds them."""
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
 
 
 @dataclass
@@ -191,9 +200,18 @@ def trail(state: Trail, row: dict, cfg: Path) -> tuple:
 
 
 def trails(rows: DataFrame, cfg: Path = Path(), by: str = "stream", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """segment, reset_reason and kept of each pose."""
     return fold(rows, by, order, Trail, lambda s, r: trail(s, r, cfg), "segment int, reset_reason string, kept boolean", ("source", "frame_id", "stamp", "x", "y", "z"))
 
 
+def path(rows: DataFrame, cfg: Path = Path(), by: str = "stream", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The poses of each stream's current path: those kept in its last segment, the newest cfg.max_points of them."""
+    kept = trails(rows, cfg, by, order).where("kept")
+    last = F.max("segment").over(W.partitionBy(by))
+    here = kept.withColumn("_last", last).where("segment = _last").drop("_last")
+    return newest(here, cfg.max_points, (by,), order) if cfg.max_points > 0 else here
+
+
 def synchronise(state: dict, row: dict, sensors: tuple[str, ...], slop: float, queue: int = 20) -> tuple | None:
     """Clouds in order of arrival, into groups of one from each sensor whose stamps span at most slop. Each sensor has a queue;
     heads that the latest head has left behind are dropped, as are clouds beyond the queue's length. Gives a group's stamp,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.columns import d
+from .joins import as_of
 
 # The packet layout, the block headers, and the firing times in microseconds.
 PACKET_BYTES, BLOCKS, FIRINGS, LASERS = 1206, 12, 2, 16
@@ -26,6 +30,12 @@ CHANNELS = (
     (-300, 12.96, -0.021, 0.00915, 6), (1300, 14.04, -0.021, -0.00506, 14), (-100, 15.12, -0.021, 0.00915, 7), (1500, 16.20, -0.021, -0.00506, 15),
 )
 
+#: Fixed values of the sixteen-laser family: where a status packet has its vertical angles, the channel of each of its slots, and
+#: the factory's angle of each channel.
+ANGLES_AT = 834
+SLOT_CHANNEL = (0, 2, 4, 6, 8, 10, 12, 14, 1, 3, 5, 7, 9, 11, 13, 15)
+FACTORY_ANGLES = (-15, 1, -13, 3, -11, 5, -9, 7, -7, 9, -5, 11, -3, 13, -1, 15)
+
 RETURNS = "sensor string, packet_no long, block int, firing int, laser_id int, azimuth int, raw int, reflectivity int"
 
 
@@ -41,30 +51,52 @@ def gaps_of(rotation: np.ndarray) -> np.ndarray:
     return out
 
 
-def returns(packets: DataFrame, banks: bool = False) -> DataFrame:
-    """RETURNS of each packet of (sensor, packet_no, data). Packets of another size are left out; a block with a wrong header
-    ends its packet. With banks, blocks of both headers count, lower ones as lasers 16 to 31, and zero ranges are skipped."""
-    schema = pa.schema([("sensor", pa.string()), ("packet_no", pa.int64()), *[(c, pa.int32()) for c in ("block", "firing", "laser_id", "azimuth", "raw", "reflectivity")]])
+def _unpacked(packets: DataFrame, names: tuple[str, ...], kernel: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """Returns of each packet of (sensor, packet_no, data); packets of another size are left out. kernel takes the blocks of some
+    packets and gives, for each return, its packet's place among them and the columns named."""
+    schema = pa.schema([("sensor", pa.string()), ("packet_no", pa.int64()), *[(c, pa.int32()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(s, p, x) for s, p, x in zip(*(batch.column(i).to_pylist() for i in range(3))) if x is not None and len(x) == PACKET_BYTES]
             for at in range(0, len(rows), 256):
                 sensor, number, data = zip(*rows[at : at + 256])
-                blocks = np.frombuffer(b"".join(data), dtype=DTYPE)["blocks"]
-                known = (blocks["header"] == UPPER_BANK) | (banks & (blocks["header"] == LOWER_BANK))
-                gap = gaps_of(blocks["rotation"])
-                good = np.logical_and.accumulate(known, axis=1) & (gap >= 0)
-                p, b, f, k = np.meshgrid(np.arange(len(data)), np.arange(BLOCKS), np.arange(FIRINGS), np.arange(LASERS), indexing="ij")
-                turned = blocks["rotation"][:, :, None, None] + gap[:, :, None, None] * ((k * LASER_US + f * FIRING_US) / BLOCK_US)
-                azimuth = np.floor(turned + 0.5).astype(np.int64) % 36000
-                ranges, light = (blocks["returns"][c].reshape(p.shape) for c in ("range", "reflectivity"))
-                keep = np.broadcast_to(good[:, :, None, None], p.shape) & ((ranges > 0) if banks else True)
-                lower = np.broadcast_to((blocks["header"] == LOWER_BANK)[:, :, None, None], p.shape)
-                at_p = p[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(sensor, dtype=object)[at_p], pa.string()), pa.array(np.array(number, dtype=np.int64)[at_p]), *[pa.array(x[keep].astype(np.int32)) for x in (b, f, k + LASERS * lower, azimuth, ranges, light)]], schema=schema)
-
-    return packets.select("sensor", "packet_no", "data").mapInArrow(run, RETURNS)
+                place, *columns = kernel(np.frombuffer(b"".join(data), dtype=DTYPE)["blocks"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(sensor, dtype=object)[place], pa.string()), pa.array(np.array(number, dtype=np.int64)[place]), *[pa.array(x.astype(np.int32)) for x in columns]], schema=schema)
+
+    return packets.select("sensor", "packet_no", "data").mapInArrow(run, "sensor string, packet_no long, " + ", ".join(f"{c} int" for c in names))
+
+
+def returns(packets: DataFrame) -> DataFrame:
+    """RETURNS of the sixteen-laser family, two firings a block. A block with a wrong header ends its packet."""
+
+    def kernel(blocks: np.ndarray) -> tuple:
+        gap = gaps_of(blocks["rotation"])
+        good = np.logical_and.accumulate(blocks["header"] == UPPER_BANK, axis=1) & (gap >= 0)
+        p, b, f, k = np.meshgrid(np.arange(len(blocks)), np.arange(BLOCKS), np.arange(FIRINGS), np.arange(LASERS), indexing="ij")
+        turned = blocks["rotation"][:, :, None, None] + gap[:, :, None, None] * ((k * LASER_US + f * FIRING_US) / BLOCK_US)
+        azimuth = np.floor(turned + 0.5).astype(np.int64) % 36000
+        keep = np.broadcast_to(good[:, :, None, None], p.shape)
+        return tuple(x[keep] for x in (p, b, f, k, azimuth, *(blocks["returns"][c].reshape(p.shape) for c in ("range", "reflectivity"))))
+
+    return _unpacked(packets, ("block", "firing", "laser_id", "azimuth", "raw", "reflectivity"), kernel)
+
+
+def bank_returns(packets: DataFrame, sectors: tuple[tuple[int, int], ...] = ((0, 36000),)) -> DataFrame:
+    """RETURNS of the families of 32 and 64 lasers: 32 lasers a block, those of a lower block from 32 on, at the block's own
+    azimuth. Any other header counts as an upper one. Zero ranges and blocks outside all sectors are left out."""
+
+    def kernel(blocks: np.ndarray) -> tuple:
+        p, b, k = np.meshgrid(np.arange(len(blocks)), np.arange(BLOCKS), np.arange(2 * LASERS), indexing="ij")
+        azimuth, lower = (np.broadcast_to(x[:, :, None], p.shape) for x in (blocks["rotation"], blocks["header"] == LOWER_BANK))
+        ranges, light = (blocks["returns"][c] for c in ("range", "reflectivity"))
+        inside = np.zeros(p.shape, dtype=bool)
+        for low, high in sectors:
+            inside |= (azimuth >= low) & (azimuth <= high) if low < high else (low > high) & ((azimuth <= high) | (azimuth >= low))
+        keep = (ranges > 0) & inside
+        return tuple(x[keep] for x in (p, b, np.zeros_like(b), k + 2 * LASERS * lower, azimuth, ranges, light))
+
+    return _unpacked(packets, ("block", "firing", "laser_id", "azimuth", "raw", "reflectivity"), kernel)
 
 
 def packet_time(block: Column, firing: Column, laser: Column) -> Column:
@@ -86,9 +118,9 @@ def corrected_intensity(reflectivity: Column, raw: Column, integer_ratio: bool)
     return F.least(F.greatest(value, F.col("min_intensity").cast("double")), F.col("max_intensity").cast("double"))
 
 
-def projected(found: DataFrame, calibration: DataFrame, resolution: float = 0.005, integer_ratio: bool = True) -> DataFrame:
+def projected(found: DataFrame, calibration: DataFrame, resolution: float = 0.005, integer_ratio: bool = True, by: tuple[str, ...] = ("sensor", "laser_id")) -> DataFrame:
     """Returns through a calibration (schemas.CALIBRATION): x, y, z in metres, x ahead; ring, distance, intensity, time."""
-    j = found.join(calibration, ["sensor", "laser_id"])
+    j = found.join(calibration, list(by))
     turn = F.radians(F.col("azimuth") / d(100)) - F.col("rot_correction")
     cos_v, sin_v, cos_r, sin_r = F.cos("vert_correction"), F.sin("vert_correction"), F.cos("_turn"), F.sin("_turn")
     j = j.withColumns({"distance": F.col("raw") * d(resolution) + F.col("dist_correction"), "_turn": turn})
@@ -102,8 +134,23 @@ def projected(found: DataFrame, calibration: DataFrame, resolution: float = 0.00
     return j.withColumns({"intensity": corrected_intensity(F.col("reflectivity").cast("double"), F.col("raw"), integer_ratio), "time": packet_time(F.col("block"), F.col("firing"), F.col("laser_id"))}).select("sensor", "packet_no", "block", "firing", "laser_id", "ring", "azimuth", "distance", "x", "y", "z", "intensity", "time")
 
 
-def decode(packets: DataFrame, calibration: DataFrame, banks: bool = False) -> DataFrame:
-    return projected(returns(packets, banks), calibration, integer_ratio=not banks)
+def decode(packets: DataFrame, calibration: DataFrame) -> DataFrame:
+    return projected(returns(packets), calibration)
+
+
+def decode_banks(packets: DataFrame, calibration: DataFrame, resolution: float = 0.002, sectors: tuple[tuple[int, int], ...] = ((0, 36000),)) -> DataFrame:
+    """Points of the families of 32 and 64 lasers, whose firing times are not known: time is 0."""
+    return projected(bank_returns(packets, sectors), calibration, resolution, integer_ratio=False).withColumn("time", d(0))
+
+
+def decode_recalibrated(packets: DataFrame, calibration: DataFrame, statuses: DataFrame) -> DataFrame:
+    """As decode, each packet with the vertical angles of its sensor's last status at or before its stamp, or the calibration's
+    where there is none; rings stay what they were. packets: also stamp_ns; statuses: sensor, stamp_ns, angles in degrees."""
+    known = statuses.select("sensor", F.col("stamp_ns").alias("at"), F.col("stamp_ns").alias("version"))
+    dated = as_of(packets.select("sensor", "packet_no", "stamp_ns"), known, "sensor", "stamp_ns", "version").select("sensor", "packet_no", F.coalesce("version", F.lit(-1)).alias("version"))
+    turned = calibration.join(statuses.select("sensor", F.col("stamp_ns").alias("version"), "angles"), "sensor").withColumn("vert_correction", F.radians(F.get("angles", F.col("laser_id"))).cast("double"))
+    versions = turned.select("version", *calibration.columns).union(calibration.select(F.lit(-1).cast("long"), *calibration.columns))
+    return projected(returns(packets).join(dated, ["sensor", "packet_no"]), versions, by=("sensor", "version", "laser_id"))
 
 
 def decode_channels(packets: DataFrame, min_range: float = 0.2, resolution: float = 0.002) -> DataFrame:
@@ -122,19 +169,12 @@ def decode_channels(packets: DataFrame, min_range: float = 0.2, resolution: floa
 
 def returns_unturned(packets: DataFrame) -> DataFrame:
     """As returns, with each block's own rotation and without judging headers or gaps."""
-    schema = pa.schema([("sensor", pa.string()), ("packet_no", pa.int64()), *[(c, pa.int32()) for c in ("block", "firing", "laser_id", "rotation", "raw", "reflectivity")]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(s, p, x) for s, p, x in zip(*(batch.column(i).to_pylist() for i in range(3))) if x is not None and len(x) == PACKET_BYTES]
-            for at in range(0, len(rows), 256):
-                sensor, number, data = zip(*rows[at : at + 256])
-                blocks = np.frombuffer(b"".join(data), dtype=DTYPE)["blocks"]
-                n = BLOCKS * 32
-                b, f, k = (np.tile(x.ravel(), len(data)) for x in np.meshgrid(np.arange(BLOCKS), np.arange(FIRINGS), np.arange(LASERS), indexing="ij"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(sensor, dtype=object), n), pa.string()), pa.array(np.repeat(np.array(number, dtype=np.int64), n)), *[pa.array(x.astype(np.int32)) for x in (b, f, k, np.repeat(blocks["rotation"].ravel(), 32), blocks["returns"]["range"].ravel(), blocks["returns"]["reflectivity"].ravel())]], schema=schema)
+    def kernel(blocks: np.ndarray) -> tuple:
+        p, b, f, k = (x.ravel() for x in np.meshgrid(np.arange(len(blocks)), np.arange(BLOCKS), np.arange(FIRINGS), np.arange(LASERS), indexing="ij"))
+        return p, b, f, k, blocks["rotation"][p, b], blocks["returns"]["range"].ravel(), blocks["returns"]["reflectivity"].ravel()
 
-    return packets.select("sensor", "packet_no", "data").mapInArrow(run, "sensor string, packet_no long, block int, firing int, laser_id int, rotation int, raw int, reflectivity int")
+    return _unpacked(packets, ("block", "firing", "laser_id", "rotation", "raw", "reflectivity"), kernel)
 
 
 def packet(rotation: int, step: int, range_raw: int, reflectivity: int = 100, header: int = UPPER_BANK) -> bytes:
@@ -147,8 +187,6 @@ def packet(rotation: int, step: int, range_raw: int, reflectivity: int = 100, he
 
 def synthetic(keys: DataFrame) -> DataFrame:
     """A packet for each (sensor, packet_no), made from its number."""
-    from pyspark.sql.functions import arrow_udf
-
     def make(numbers: pa.Array) -> pa.Array:
         return pa.array([packet(n * 480 % 36000, 40, 1000 + n % 3000) for n in numbers.to_pylist()], pa.binary())
 
@@ -163,18 +201,63 @@ def example_calibration(spark: SparkSession, sensors: tuple[str, ...] = ("0", "1
     return spark.createDataFrame(rows, CALIBRATION)
 
 
-def vertical_angles(status: bytes, factory: tuple[float, ...], low: float = -16.0, high: float = 16.0) -> list[float]:
-    """Sixteen little-endian floats at byte 834 of a status packet; one out of range is replaced by the factory's."""
-    found = np.frombuffer(status, dtype="<f4", count=LASERS, offset=834)
-    return [float(x) if low <= x <= high else factory[i] for i, x in enumerate(found)]
+def status_slots(statuses: DataFrame) -> DataFrame:
+    """(sensor, stamp_ns, slots) from status packets (sensor, stamp_ns, data): the sixteen little-endian floats of each; packets
+    of another size are left out."""
+
+    def run(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or len(x) != PACKET_BYTES else np.frombuffer(x, dtype="<f4", count=LASERS, offset=ANGLES_AT).tolist() for x in data.to_pylist()], pa.list_(pa.float32()))
+
+    return statuses.select("sensor", "stamp_ns", arrow_udf(run, "array<float>")("data").alias("slots")).where("slots IS NOT NULL")
+
+
+def channel_angles(slots: Column) -> Column:
+    """The vertical angle of each channel, in degrees. A slot whose angle lies in its own window of two degrees gives it to its
+    channel; any other puts the factory's angle of the channel with the slot's own number there. Slots are read in order, so of
+    two that reach one channel the later counts, and a channel that none reaches has 0."""
+    good = [(F.get(slots, F.lit(i)) >= F.lit(-16.0 + 2 * i)) & (F.get(slots, F.lit(i)) <= F.lit(-14.0 + 2 * i)) for i in range(LASERS)]
+    out = []
+    for channel, factory in enumerate(FACTORY_ANGLES):
+        slot = SLOT_CHANNEL.index(channel)
+        given, fallen = (good[slot], F.get(slots, F.lit(slot)).cast("double")), (~good[channel], d(float(factory)))
+        late, early = (given, fallen) if slot > channel else (fallen, given)
+        out.append(F.when(*late).when(*early).otherwise(d(0)))
+    return F.array(*out)
+
+
+def status_angles(statuses: DataFrame) -> DataFrame:
+    """(sensor, stamp_ns, angles) from status packets."""
+    return status_slots(statuses).select("sensor", "stamp_ns", channel_angles(F.col("slots")).alias("angles"))
+
+
+def view_sector(low: float, high: float) -> tuple[int, int]:
+    """A sector in degrees as hundredths. One that is not a sector is the full circle; an upper end past 360 is taken as given,
+    as old files rely on it."""
+    return (0, 36000) if not 0 <= low <= 360 or high < 0 or low == high else (int(low * 100), int(high * 100))
+
+
+def view_of(direction: float, width: float) -> tuple[int, int]:
+    """The sector of a direction and a width in radians, in hundredths of a degree of the sensor, which turns the other way; no
+    width is the full circle."""
+    turn = 2 * math.pi
+    low, high = (int(100 * math.degrees(turn - (direction + side * width / 2) % turn) + 0.5) for side in (1, -1))
+    return (0, 36000) if low == high else (low, high)
+
+
+def hidden_rings(text: str) -> list[int]:
+    """The rings of a comma-separated text; what is no number counts as 0, as in the files' own reader."""
+    return [int(m[0]) if (m := re.match(r"\s*[+-]?\d+", part)) else 0 for part in text.split(",") if part != ""]
+
+
+#: The ring of each laser of the 64-beam family.
+LASER_RING = (
+    4, 5, 26, 27, 6, 7, 0, 1, 8, 9, 2, 3, 16, 17, 10, 11, 18, 19, 12, 13, 20, 21, 14, 15, 28, 29, 22, 23, 30, 31, 24, 25,
+    36, 37, 58, 59, 38, 39, 32, 33, 40, 41, 34, 35, 48, 49, 42, 43, 50, 51, 44, 45, 52, 53, 46, 47, 60, 61, 54, 55, 62, 63, 56, 57,
+)
 
 
-def recalibrated(calibration: DataFrame, statuses: DataFrame) -> DataFrame:
-    """A calibration with the vertical angles that its sensor's latest status reports, in degrees; rings stay what they were.
-    statuses: sensor, stamp_ns, angles array<float>."""
-    newest = statuses.groupBy("sensor").agg(F.max_by("angles", "stamp_ns").alias("angles"))
-    angle = F.radians(F.get("angles", F.col("laser_id")))
-    return calibration.join(newest, "sensor", "left").withColumn("vert_correction", F.coalesce(angle.cast("double"), F.col("vert_correction"))).select(*calibration.columns)
+def laser_ring(laser: Column) -> Column:
+    return F.get(F.array(*map(F.lit, LASER_RING)), laser)
 
 
 def grid(points: DataFrame) -> DataFrame:

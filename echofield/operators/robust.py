@@ -146,16 +146,16 @@ def side_clearance(points: DataFrame, cfg: Geometry = Geometry(), by: str = "fra
     return seen.select(by, F.explode(each).alias("s")).select(by, "s.station", "s.c.*")
 
 
-def target_centre(points: DataFrame, cfg: Target = Target(), by: str = "frame_no") -> DataFrame:
+def target_centre(points: DataFrame, cfg: Target = Target(), by: str | tuple[str, ...] = "frame_no") -> DataFrame:
     """cx, cy, candidates, inliers, rms and reason of each frame: every point is moved outward by the known radius along its
     line of sight, the medians of the moved points are the centre, and points at about the radius from it are inliers."""
-    r = cfg.mean_radius
+    r, keys = cfg.mean_radius, [by] if isinstance(by, str) else list(by)
     flat = norm(F.col("x"), F.col("y"))
     seen = F.when(flat > d(1e-6), F.lit(True))
     moved = points.withColumns({"_mx": F.when(seen, F.col("x") + d(r) * F.col("x") / flat), "_my": F.when(seen, F.col("y") + d(r) * F.col("y") / flat)})
-    centre = moved.groupBy(by).agg(F.count("*").alias("n"), F.count("_mx").alias("candidates"), upper_median(F.col("_mx")).alias("cx"), upper_median(F.col("_my")).alias("cy"))
+    centre = moved.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_mx").alias("candidates"), upper_median(F.col("_mx")).alias("cx"), upper_median(F.col("_my")).alias("cy"))
     off = F.abs(norm(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - d(r))
     inside = off <= d(cfg.tolerance)
-    fit = points.join(centre, by).groupBy(by, "n", "candidates", "cx", "cy").agg(F.count_if(inside).alias("inliers"), F.sqrt(F.avg(F.when(inside, off * off))).alias("rms"))
+    fit = points.join(centre, keys).groupBy(*keys, "n", "candidates", "cx", "cy").agg(F.count_if(inside).alias("inliers"), F.sqrt(F.avg(F.when(inside, off * off))).alias("rms"))
     reason = F.when(F.col("n") < cfg.min_points, "not_enough_reflector_points").when(F.col("n") < 3, "not_enough_circle_points").when(F.col("candidates") < 3, "not_enough_center_candidates").when(~finite(F.col("cx"), F.col("cy")), "invalid_center_estimate").when(F.col("inliers") < 3, "not_enough_front_surface_inliers").otherwise("none")
     return fit.withColumn("reason", reason).withColumn("detected", F.col("reason") == "none")

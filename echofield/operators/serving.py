@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import d
-from .equipment import diagnostics_level
+from .windows import path_stride
 
 # The cloud packet's header and point layouts, its magic, version and field bits.
 HEADER = np.dtype([("magic", "<u4"), ("version", "<u2"), ("cloud_type", "<u2"), ("stamp_ns", "<u8"), ("point_count", "<u4"), ("fields_mask", "<u4")])
@@ -69,11 +69,54 @@ def decode_clouds(wire: DataFrame, by: str = "frame_no") -> DataFrame:
     return wire.select(F.col(by).cast("long").alias(by), "packet").mapInArrow(run, f"{by} long, i long, x float, y float, z float, intensity float, lidar_id int, class_id int")
 
 
-def status_json(rows: DataFrame) -> DataFrame:
-    """A document for each stream: its latest message, its counter, its level. Numbers have four decimals at most."""
-    per = rows.groupBy("stream").agg(F.max_by(F.struct("kind", F.round("v", 4).alias("value"), "seq"), "seq").alias("latest"), F.count("*").alias("n"))
-    status = F.when(F.col("latest.kind") == "purchase", "GOOD").when(F.col("latest.kind") == "view", "DEGRADED").otherwise("LOST")
-    return per.select("stream", F.to_json(F.struct("stream", "latest", F.struct("n").alias("counters"), diagnostics_level(status).alias("level"))).alias("json"))
+# The fields of the status document's parts, the columns that hold them, and what they are before anything came.
+_SIDES = ("left_front", "left_rear", "right_front", "right_rear")
+POSE_FIELDS = {"valid": ("valid", False), **{c: (c, 0.0) for c in ("x", "y", "z", "qx", "qy", "qz")}, "qw": ("qw", 1.0)}
+TARGET_FIELDS = {"stamp_ns": ("stamp_ns", 0), **{c: (c, 0.0) for c in ("center_x_mm", "center_y_mm", "dx_mm", "dy_mm", "velocity_x_mm_s", "velocity_y_mm_s")}, "status": ("status", 2), "status_text": ("status_text", "LOST")}
+REVEAL_FIELDS = {"enabled": ("enabled", False), **{c: (c, 0.0) for c in ("machine_s", "revealed_s", "face_wall_s")}, **{c: (c, 0) for c in ("visible_reflector_count", "hidden_reflector_count", "published_face_point_count")}, "reveal_source": ("reveal_source", "none")}
+EQUIPMENT_FIELDS = {
+    "source": ("source", ""), "quality": ("quality", "LOST"), "invalid_reason": ("reason", "none"), "overall_status": ("status", "LOST"), "stamp_ns": ("stamp_ns", 0),
+    "attitude": {"valid": ("attitude_valid", False), **{f"{a}_valid": (f"{a}_valid", False) for a in ("roll", "pitch", "yaw")}, **{f"{a}_deg": (f"{a}_deg", 0.0) for a in ("roll", "pitch", "yaw")}, "ground_points": ("ground_points", 0), "wall_points": ("wall_points", 0)},
+    "distances": {"valid": ("distances_valid", False), **{f"{s}_{name}": (f"{s}_{c}", v) for name, c, v in (("valid", "valid", False), ("invalid_reason", "reason", "none"), ("mm", "mm", 0.0), ("points", "points", 0)) for s in _SIDES}},
+}
+
+
+def _columns(fields: dict) -> list[str]:
+    return [c for v in fields.values() for c in (_columns(v) if isinstance(v, dict) else [v[0]])]
+
+
+def _document(fields: dict, row: Column, columns: list[str]) -> list[Column]:
+    """Fields in their order; numbers have four decimals at most, what is missing its default."""
+    out = []
+    for name, spec in fields.items():
+        if isinstance(spec, dict):
+            out.append(F.struct(*_document(spec, row, columns)).alias(name))
+        else:
+            value = F.coalesce(row[spec[0]], F.lit(spec[1])) if spec[0] in columns else F.lit(spec[1])
+            out.append((F.round(value.cast("double"), 4) if isinstance(spec[1], float) else value).alias(name))
+    return out
+
+
+def status_json(parts: dict[str, tuple[DataFrame, dict]], by: str = "stream", order: str = "seq", path: DataFrame | None = None, most: int = 500) -> DataFrame:
+    """(by, json): the status document of each key that any part knows, from the latest row of each part; `seen` says whether a
+    part has one. parts: name, then rows (by, order and columns of the fields) and fields. path: by, order, x, y, z of what is
+    shown; at most `most` strides of it and its last point are listed."""
+    out = None
+    for name, (rows, fields) in parts.items():
+        wanted = [c for c in dict.fromkeys(_columns(fields)) if c in rows.columns]
+        newest = rows.groupBy(by).agg(F.max_by(F.struct(F.lit(True).alias("seen"), *wanted), order).alias(name))
+        out = newest if out is None else out.join(newest, by, "full")
+    if path is not None:
+        shown = path_stride(path, most, by, order).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "x", "y", "z"))).alias("_p"))
+        counted = path.groupBy(by).agg(F.count("*").alias("_n"), F.min_by("x", order).alias("_from"), F.max_by("x", order).alias("_to")).join(shown, by)
+        out = counted if out is None else out.join(counted, by, "full")
+    documents = []
+    for name, (rows, fields) in parts.items():
+        documents.append(F.struct(F.coalesce(F.col(name)["seen"], F.lit(False)).alias("seen"), *_document(fields, F.col(name), rows.columns)).alias(name))
+    if path is not None:
+        points = F.transform(F.coalesce("_p", F.array()), lambda p: F.array(*[F.round(p[c].cast("double"), 4) for c in "xyz"]))
+        documents += [points.alias("path"), F.coalesce("_n", F.lit(0)).alias("displayed_path_point_count"), F.size(points).alias("status_path_point_count"), F.round(F.coalesce("_from", d(0)), 4).alias("path_start_s"), F.round(F.coalesce("_to", d(0)), 4).alias("path_end_s")]
+    return out.select(by, F.to_json(F.struct(by, *documents)).alias("json"))
 
 
 def json_int(column: str, key: str, fallback: int) -> Column:

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, with SQL for each that SQL can express."""
 
-from . import points, streams
+from . import decoding, points, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "points", "streams"]
+__all__ = ["ORACLES", "QUERIES", "decoding", "points", "streams"]

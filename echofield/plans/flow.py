@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Fusion, Target, Tracker
-from ..operators import joins, ordered, packets, points, robust
+from ..config import Equipment, Fusion, Target, Tracker
+from ..functions.columns import d
+from ..operators import equipment, joins, ordered, packets, points, robust
 from ..schemas import validate
 
 
@@ -31,14 +32,34 @@ def fused(clouds: DataFrame, cloud_points: DataFrame, transforms: DataFrame, sen
 
 
 def target_track(frames: DataFrame, stamps: DataFrame, cfg: Target = Target(), tracker: Tracker = Tracker()) -> DataFrame:
-    """frames: stream, frame_no, seq, x, y, z, intensity; stamps: stream, frame_no, stamp. A frame without a detection is a
-    miss; a frame without any point is one too."""
+    """frames: stream, frame_no, seq, x, y, z, intensity; stamps: stream, frame_no, stamp. Streams may number their frames
+    alike. A frame without a detection is a miss; a frame without any point is one too."""
+    frame = ("stream", "frame_no")
     region = points.target_region(frames, cfg)
-    small = points.voxel_centroid(region, cfg.leaf).select("frame_no", "x", "y", "z", "intensity")
-    centre = robust.target_centre(points.outliers_removed(small, cfg.sor_k, cfg.sor_sigma), cfg)
-    seen = stamps.join(centre, "frame_no", "left")
+    small = points.voxel_centroid(region, cfg.leaf, frame).select(*frame, "x", "y", "z", "intensity")
+    centre = robust.target_centre(points.outliers_removed(small, cfg.sor_k, cfg.sor_sigma, frame), cfg, frame)
+    seen = stamps.join(centre, list(frame), "left")
     zero = F.lit(0.0)
     rows = seen.select("stream", F.col("frame_no").alias("seq"), "stamp", F.coalesce("detected", F.lit(False)).alias("detected"), F.coalesce("cx", zero).alias("cx"), F.coalesce("cy", zero).alias("cy"), F.coalesce("inliers", F.lit(0)).alias("inliers"), F.coalesce("rms", zero).alias("rms"))
     return ordered.tracked(rows, tracker)
 
 
+def fused_at(clouds: DataFrame, cloud_points: DataFrame, poses: DataFrame, sensors: list[str], cfg: Fusion = Fusion()) -> DataFrame:
+    """As fused, with poses over time: sensor, at and a pose from then on. A cloud without a pose within cfg.tf_wait_s of its
+    stamp drops its whole group."""
+    usable = clouds.select("stream", "sensor", F.col("seq").alias("cloud_seq"), "stamp")
+    groups = joins.synchronised(clouds, sensors, cfg.slop_s)
+    members = groups.select("stream", F.col("stamp").alias("out_stamp"), F.explode(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(f"seq_{i}").alias("cloud_seq")) for i, s in enumerate(sensors)])).alias("m")).select("stream", "out_stamp", "m.*").join(usable, ["stream", "sensor", "cloud_seq"])
+    found = joins.as_of(members, poses.select("sensor", F.col("at"), F.col("at").alias("since")), "sensor", "stamp", "since")
+    there = F.coalesce(F.col("stamp") - F.col("since") <= d(cfg.tf_wait_s), F.lit(False))
+    whole = found.groupBy("stream", "out_stamp").agg(F.bool_and(there).alias("ok")).where("ok").select("stream", "out_stamp")
+    kept = members.join(whole, ["stream", "out_stamp"])
+    joined = cloud_points.join(kept, ["stream", "sensor", "cloud_seq"]).withColumn("time", F.col("time") + F.col("stamp") - F.col("out_stamp"))
+    return points.rigid_at(joined, kept.select("stream", "sensor", "cloud_seq", "stamp"), poses, unit=("stream", "sensor", "cloud_seq"))
+
+
+def equipment_track(cloud: DataFrame, inputs: DataFrame, cfg: Equipment = Equipment(), robust_plane: bool = True) -> DataFrame:
+    """Equipment states in the order of frames: geometry, then the input cascade, then the filters of angles and distances with
+    their memory, and the downgrade after a jump. cloud: frame_no, seq, x, y, z; inputs: frame_no, n, age_s, failure."""
+    states = equipment.with_input(equipment.geometry(cloud, cfg.geometry, robust_plane, inputs), inputs, cfg)
+    return equipment.filtered(states.withColumn("stream", F.lit(0)), cfg).drop("stream")

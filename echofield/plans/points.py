@@ -123,7 +123,21 @@ SELECT ring, seq, round(d2, 6) AS distance FROM (SELECT *, 0.1::DOUBLE * 10 * CA
 WHERE 200 * abs(d3 - d2) < lim AND 200 * abs(d1 - d2) < lim""")
 def ring_denoise(spark, sf_dir):
     src = meas(spark, sf_dir).select(F.col("stream").alias("ring"), "seq", (F.col("v") / 20).alias("distance"))
-    return rounded(points.ring_denoise(src, (10.0, 10.0, 10.0, 10.0), by=("ring",)), "distance")
+    return rounded(points.ring_denoise(src, (10.0, 10.0, 10.0, 10.0), by=("ring",), width=1000), "distance")
+
+
+@query(f"WITH {BIG} SELECT frame_no, count(*) AS n, round(sum(x), 4) AS sx, CAST(sum(seq) AS BIGINT) AS seqs FROM big WHERE x BETWEEN 5 AND 45 AND y BETWEEN 1 AND 9 AND z BETWEEN 1 AND 7 AND intensity > 20000 GROUP BY frame_no")
+def roi_crop_volume(spark, sf_dir):
+    """The region of all lines."""
+    kept = points.target_region(cloud_big(spark, sf_dir), Target(roi_x=(5.0, 45.0), roi_y=(1.0, 9.0), roi_z=(1.0, 7.0), intensity_above=20_000.0))
+    return kept.groupBy("frame_no").agg(F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.sum("seq").alias("seqs"))
+
+
+@query(f"WITH {BIG}, {_poses_sql()} SELECT frame_no, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM (SELECT frame_no, {_MOVED} FROM (SELECT *, CAST(frame_no % 3 AS INTEGER) AS sensor FROM big) JOIN poses USING (sensor)) GROUP BY frame_no")
+def rigid_transform_volume(spark, sf_dir):
+    """All lines as points of three sensors, moved to the common frame."""
+    moved = points.rigid(cloud_big(spark, sf_dir).withColumn("sensor", (F.col("frame_no") % 3).cast("int")), transforms(spark))
+    return moved.groupBy("frame_no").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in "xyz"])
 
 
 @query(f"""WITH {PTS}, gaps AS (SELECT a.frame_no, a.seq, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS g FROM pts a JOIN pts b ON a.frame_no = b.frame_no AND a.seq <> b.seq),
@@ -299,11 +313,11 @@ def classify_points(spark, sf_dir):
     return pts(spark, sf_dir).select("frame_no", "seq", C.class_id(i).alias("class_current"), C.class_id(i, stable=True).alias("class_stable"), C.to_u8(i).alias("u8"))
 
 
-@query(f"WITH {_CENTRE} SELECT frame_no, round(-8 - cx, 6) AS dx, round(0 - cy, 6) AS dy, round((-8 - cx) * 1000, 3) AS dx_mm FROM centre")
+@query(f"""WITH {_CENTRE}, off AS (SELECT frame_no, abs(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) - 1) AS o FROM pts JOIN centre USING (frame_no)), res AS (SELECT frame_no, avg(o * o) AS r2 FROM off WHERE o <= {_R.tolerance!r}::DOUBLE GROUP BY frame_no)
+SELECT frame_no, round(-8 - cx, 6) AS dx, round(0 - cy, 6) AS dy, round((-8 - cx) * 1000, 3) AS dx_mm, round(r2, 6) AS covariance_xx, 0::DOUBLE AS covariance_xy, round(r2, 6) AS covariance_yy FROM centre LEFT JOIN res USING (frame_no)""")
 def target_displacement(spark, sf_dir):
-    t = Target()
-    c = robust.target_centre(pts(spark, sf_dir), _R)
-    return c.select("frame_no", F.round(C.d(t.zero[0]) - F.col("cx"), 6).alias("dx"), F.round(C.d(t.zero[1]) - F.col("cy"), 6).alias("dy"), F.round((C.d(t.zero[0]) - F.col("cx")) * C.d(1000), 3).alias("dx_mm"))
+    c = robust.target_centre(pts(spark, sf_dir), _R).withColumns(C.displacement(F.col("cx"), F.col("cy"), F.col("rms"), Target().zero))
+    return rounded(c.select("frame_no", "dx", "dy", F.round(F.col("dx") * C.d(1000), 3).alias("dx_mm"), "covariance_xx", "covariance_xy", "covariance_yy"), "dx", "dy", "covariance_xx", "covariance_yy")
 
 
 @query(f"WITH {_CENTRE} SELECT frame_no, round(cx, 6) AS x, round(cy, 6) AS y, round((-1.342::DOUBLE + 0.858::DOUBLE) / 2, 6) AS z, 2.0::DOUBLE AS diameter, round(0.858::DOUBLE + 1.342::DOUBLE, 6) AS height FROM centre")
@@ -316,3 +330,41 @@ def target_marker(spark, sf_dir):
 @query(f"WITH {PTS} SELECT frame_no, seq, CASE WHEN isfinite(x) THEN printf('%.3f', x) ELSE '---' END AS x3, CASE WHEN isfinite(z) THEN printf('%.0f', z * 1000) ELSE '---' END AS z_mm FROM pts WHERE seq % 2 = 1")
 def display_text(spark, sf_dir):
     return pts(spark, sf_dir).select("frame_no", "seq", C.shown(F.col("x"), 3).alias("x3"), C.shown(F.col("z") * 1000, 0).alias("z_mm"))
+
+
+@query(f"WITH {PTS}, {_poses_sql()}, moved AS (SELECT frame_no, sensor, seq, {_MOVED} FROM pts JOIN poses USING (sensor) WHERE sensor <> 0 UNION ALL SELECT frame_no, sensor, seq, x, y, z FROM pts WHERE sensor = 0), late AS (SELECT frame_no, max(CAST(seq * 10 AS DOUBLE)) AS out_stamp FROM pts GROUP BY frame_no) SELECT frame_no, sensor, seq, {r6('x', 'y', 'z')}, out_stamp FROM moved JOIN late USING (frame_no)")
+def fuse_legacy(spark, sf_dir):
+    """The older fusion: the first sensor's frame is the target, so its points stay; the latest stamp counts."""
+    clouds = pts(spark, sf_dir).select("frame_no", "sensor", "seq", (F.col("seq") * 10).cast("double").alias("stamp"), "x", "y", "z")
+    return rounded(points.legacy_union(clouds, transforms(spark), "0", by="frame_no").select("frame_no", "sensor", "seq", "x", "y", "z", "out_stamp"), "x", "y", "z")
+
+
+@query(f"""WITH {PTS}, f AS (SELECT DISTINCT frame_no, sensor, frame_no * 10 + sensor AS stamp FROM pts), t AS (SELECT sensor, k * 25 + 5 AS at, k FROM range(3) u(sensor), range(5) v(k)),
+j AS (SELECT f.frame_no, f.sensor, f.stamp, t.at, t.k FROM f ASOF JOIN t ON f.sensor = t.sensor AND f.stamp >= t.at)
+SELECT p.frame_no, p.sensor, p.seq, round(-p.y + j.k, 6) AS x, round(p.x - 2 * j.k, 6) AS y, round(p.z + 0.5::DOUBLE, 6) AS z FROM pts p JOIN j ON p.frame_no = j.frame_no AND p.sensor = j.sensor WHERE j.stamp - j.at <= 20""")
+def tf_by_stamp(spark, sf_dir):
+    """Each cloud under the pose that held at its stamp; a cloud without a recent pose is dropped."""
+    p = pts(spark, sf_dir)
+    stamps = p.select("frame_no", "sensor", (F.col("frame_no") * 10 + F.col("sensor")).cast("double").alias("stamp")).distinct()
+    k = F.col("k").cast("double")
+    poses = spark.createDataFrame([(s, n) for s in range(3) for n in range(5)], "sensor int, k int").select("sensor", (k * 25 + 5).alias("at"), *[C.d(q).alias(c) for c, q in zip(("qx", "qy", "qz", "qw"), (0.0, 0.0, 2.0, 2.0))], k.alias("tx"), (-2 * k).alias("ty"), C.d(0.5).alias("tz"))
+    return rounded(points.rigid_at(p, stamps, poses, unit=("frame_no", "sensor"), max_wait=20.0).select("frame_no", "sensor", "seq", "x", "y", "z"), "x", "y", "z")
+
+
+@query(f"""WITH {PTS}, b AS (SELECT frame_no, sensor, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, min(z) AS z_min, max(z) AS z_max, count(*) AS n FROM pts GROUP BY ALL)
+SELECT frame_no, {', '.join(f'round({f}({c}_{f}), 6) AS {c}_{f}' for c in 'xyz' for f in ('min', 'max'))}, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY frame_no""")
+def scene_box(spark, sf_dir):
+    """The box around each frame's layers, a layer a sensor."""
+    box = points.union_box(points.boxes(pts(spark, sf_dir), ("frame_no", "sensor")), ("frame_no",))
+    return rounded(box, *[f"{c}_{f}" for c in "xyz" for f in ("min", "max")])
+
+
+@query(f"""WITH {PTS}, u AS (SELECT *, sqrt(0.1::DOUBLE * 0.1::DOUBLE + 0.2::DOUBLE * 0.2::DOUBLE + 1) AS len FROM pts), g AS (SELECT frame_no, seq, x + 1 AS gx, y - 0.25::DOUBLE AS gy, z + 0.7::DOUBLE AS gz, 0.1::DOUBLE / len AS ax, -0.2::DOUBLE / len AS ay, 1 / len AS az, z FROM u),
+h AS (SELECT *, gx * ax + gy * ay + gz * az AS t FROM g)
+SELECT frame_no, seq, round(sqrt(pow(gx - t * ax, 2) + pow(gy - t * ay, 2) + pow(gz - t * az, 2)) - 0.5::DOUBLE, 6) AS residual, round(-1 + (z + 0.7::DOUBLE) * 0.1::DOUBLE, 6) AS axis_x, round(0.25::DOUBLE - (z + 0.7::DOUBLE) * 0.2::DOUBLE, 6) AS axis_y FROM h""")
+def axis_residual(spark, sf_dir):
+    """How far points lie from a cylinder, and where its axis passes their height."""
+    at, axis = tuple(C.d(v) for v in (-1.0, 0.25, -0.7)), tuple(C.d(v) for v in (0.1, -0.2, 1.0))
+    x, y, z = (F.col(c) for c in "xyz")
+    ax, ay, _ = C.axis_at_height(at, axis, z)
+    return rounded(pts(spark, sf_dir).select("frame_no", "seq", C.radial_residual((x, y, z), at, axis, C.d(0.5)).alias("residual"), ax.alias("axis_x"), ay.alias("axis_y")), "residual", "axis_x", "axis_y")

@@ -264,17 +264,39 @@ def scrape_json(spark, sf_dir):
     return meas(spark, sf_dir).select("seq", serving.json_int("props", "k", -1).alias("k"), serving.json_text("props", "missing", "none").alias("missing"))
 
 
-@query(f"""WITH {MEAS} SELECT stream, arg_max(kind, seq) AS kind, CAST(round(arg_max(v, seq), 4) AS DOUBLE) AS value, max(seq) AS seq, count(*) AS n, CASE arg_max(kind, seq) WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS level FROM meas GROUP BY stream""")
+@query(f"""WITH {MEAS}, a AS (SELECT stream, arg_max(v, seq) AS v, max(seq) AS seq FROM meas WHERE kind = 'click' GROUP BY stream), b AS (SELECT stream, arg_max(v, seq) AS v, max(seq) AS seq FROM meas WHERE kind = 'view' GROUP BY stream),
+c AS (SELECT stream, arg_max(v, seq) AS v, max(seq) AS seq FROM meas WHERE kind = 'error' GROUP BY stream), e AS (SELECT stream, arg_max(v, seq) AS v, max(seq) AS seq FROM meas WHERE kind = 'purchase' GROUP BY stream),
+m AS (SELECT stream, seq, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY stream) AS n FROM meas WINDOW w AS (PARTITION BY stream ORDER BY seq)),
+p AS (SELECT stream, list([round(v, 4), round(v / 2, 4), 0] ORDER BY seq) FILTER (WHERE (i - 1) % CAST(ceil(n / 3::DOUBLE) AS BIGINT) = 0 OR i = n) AS path, max(n) AS n, round(arg_min(v, seq), 4) AS path_start_s, round(arg_max(v, seq), 4) AS path_end_s FROM m GROUP BY stream)
+SELECT p.stream, a.v IS NOT NULL AS pose_seen, coalesce(round(a.v, 4), 0) AS pose_x, 1::DOUBLE AS pose_qw, b.v IS NOT NULL AS cloud_seen, CASE WHEN b.v IS NULL THEN 'LOST' WHEN b.seq % 2 = 0 THEN 'OK' ELSE 'DEGRADED' END AS cloud_status, coalesce(round(b.v, 4), 0) AS cloud_roll, coalesce(b.seq % 2 = 0, false) AS left_front_valid, coalesce(round(b.v * 10, 4), 0) AS left_front_mm,
+c.v IS NOT NULL AS sensor_seen, CASE WHEN c.v IS NULL THEN 'none' ELSE 'TCP_READ_FAILED' END AS sensor_reason, e.v IS NOT NULL AS target_seen, coalesce(round(e.v * 1000, 4), 0) AS dx_mm, CAST(coalesce(e.seq % 3, 2) AS INTEGER) AS target_status, CAST(p.n AS BIGINT) AS points, CAST(len(p.path) AS INTEGER) AS listed, list_sum([x[1] FOR x IN p.path]) AS path_x, path_start_s, path_end_s
+FROM p LEFT JOIN a USING (stream) LEFT JOIN b USING (stream) LEFT JOIN c USING (stream) LEFT JOIN e USING (stream)""")
 def status_document(spark, sf_dir):
-    """The status document of each stream, read back from its JSON so that both sides compare values and not spelling."""
-    doc = serving.status_json(meas(spark, sf_dir))
-    kind = "struct<stream:bigint,latest:struct<kind:string,value:double,seq:bigint>,counters:struct<n:bigint>,level:int>"
-    return doc.select(F.from_json("json", kind).alias("j")).select("j.stream", "j.latest.kind", "j.latest.value", "j.latest.seq", "j.counters.n", "j.level")
+    """The status document of each stream from five streams of its own, read back from its JSON so that both sides compare
+    values and not spelling."""
+    part = "struct<seen:boolean,valid:boolean,x:double,qw:double,overall_status:string,invalid_reason:string,dx_mm:double,status:int,attitude:struct<roll_deg:double>,distances:struct<left_front_valid:boolean,left_front_mm:double>>"
+    kind = f"struct<stream:bigint,{','.join(f'{n}:{part}' for n in ('pose', 'cloud_estimate', 'real_sensors', 'target_xy'))},path:array<array<double>>,displayed_path_point_count:bigint,status_path_point_count:int,path_start_s:double,path_end_s:double>"
+    j = status_json(spark, sf_dir).select(F.from_json("json", kind).alias("j")).select("j.*")
+    cloud, sensors, target = F.col("cloud_estimate"), F.col("real_sensors"), F.col("target_xy")
+    total = F.aggregate("path", C.d(0), lambda a, p: a + p[0])
+    return j.select("stream", F.col("pose.seen").alias("pose_seen"), F.col("pose.x").alias("pose_x"), F.col("pose.qw").alias("pose_qw"), cloud["seen"].alias("cloud_seen"), cloud["overall_status"].alias("cloud_status"), cloud["attitude"]["roll_deg"].alias("cloud_roll"), cloud["distances"]["left_front_valid"].alias("left_front_valid"), cloud["distances"]["left_front_mm"].alias("left_front_mm"), sensors["seen"].alias("sensor_seen"), sensors["invalid_reason"].alias("sensor_reason"), target["seen"].alias("target_seen"), target["dx_mm"].alias("dx_mm"), target["status"].alias("target_status"), F.col("displayed_path_point_count").alias("points"), F.col("status_path_point_count").alias("listed"), total.alias("path_x"), "path_start_s", "path_end_s")
 
 
 @query()
 def status_json(spark, sf_dir):
-    return serving.status_json(meas(spark, sf_dir))
+    """Each kind of event is one of the document's streams."""
+    m = meas(spark, sf_dir)
+    even = F.col("seq") % 2 == 0
+    of = {k: m.where(F.col("kind") == k) for k in ("click", "view", "error", "purchase")}
+    cloud = of["view"].select("stream", "seq", F.col("v").alias("roll_deg"), F.when(even, "OK").otherwise("DEGRADED").alias("status"), even.alias("left_front_valid"), (F.col("v") * 10).alias("left_front_mm"))
+    parts = {
+        "pose": (of["click"].select("stream", "seq", F.lit(True).alias("valid"), F.col("v").alias("x")), serving.POSE_FIELDS),
+        "cloud_estimate": (cloud, serving.EQUIPMENT_FIELDS),
+        "real_sensors": (of["error"].select("stream", "seq", F.lit("TCP_READ_FAILED").alias("reason")), serving.EQUIPMENT_FIELDS),
+        "target_xy": (of["purchase"].select("stream", "seq", (F.col("v") * 1000).alias("dx_mm"), (F.col("seq") % 3).cast("int").alias("status")), serving.TARGET_FIELDS),
+    }
+    path = m.select("stream", "seq", F.col("v").alias("x"), (F.col("v") / 2).alias("y"), C.d(0).alias("z"))
+    return serving.status_json(parts, path=path, most=3)
 
 
 @query(f"""WITH {MEAS}, s AS (SELECT stream, seq, CASE kind WHEN 'purchase' THEN 'OK' WHEN 'view' THEN 'DEGRADED' ELSE 'LOST' END AS status, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'PARTIAL_VALID' ELSE 'LOW_GROUND_POINTS' END AS reason, seq % 2 = 0 AS att, seq % 5 = 0 AS jump FROM meas)
@@ -348,3 +370,69 @@ def frequency_monitor(spark, sf_dir):
     m = meas(spark, sf_dir).select("kind", F.timestamp_add("MICROSECOND", F.col("us"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts"))
     r = windows.rate_bounds(m, "ts", 2.0, 3.0, "2 days", "1 day", 48.0, by="kind")
     return r.select("kind", C.micros(F.col("start")).alias("start_us"), "rate", "ok")
+
+
+@query(f"""WITH RECURSIVE {_NUM}, t AS (
+  SELECT stream, n, seq, v AS spot, true AS kept FROM num WHERE n = 1
+  UNION ALL
+  SELECT d.stream, d.n, d.seq, CASE WHEN abs(d.v - t.spot) >= 20 THEN d.v ELSE t.spot END, abs(d.v - t.spot) >= 20 FROM t JOIN num d ON d.stream = t.stream AND d.n = t.n + 1)
+SELECT stream, seq, round(spot, 6) AS px FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq DESC) AS k FROM t WHERE kept) WHERE k <= 5""")
+def path_newest(spark, sf_dir):
+    """Of the kept points of each path the newest five."""
+    m = meas(spark, sf_dir).select("stream", "seq", F.col("v").alias("x"), C.d(0).alias("y"), C.d(0).alias("z"))
+    return rounded(ordered.path_steps(m, 20.0, most=5), "px").select("stream", "seq", "px")
+
+
+@query(f"WITH {MEAS} SELECT stream, kind, seq FROM (SELECT *, row_number() OVER (PARTITION BY stream, kind ORDER BY seq DESC) AS k FROM meas) WHERE k <= 2")
+def bounded_queue(spark, sf_dir):
+    """What a queue of two for each topic still holds."""
+    return ordered.newest(meas(spark, sf_dir), 2, ("stream", "kind")).select("stream", "kind", "seq")
+
+
+@query(f"""WITH {MEAS}, s AS (SELECT stream, seq, CASE WHEN kind = 'error' THEN 'LOST' WHEN seq % 2 = 0 THEN 'GOOD' ELSE 'DEGRADED' END AS status, kind <> 'error' AS detected, CAST(seq % 60 AS INTEGER) AS inliers FROM meas)
+SELECT stream, seq, CASE status WHEN 'GOOD' THEN 0 WHEN 'DEGRADED' THEN 1 ELSE 2 END AS level, CASE WHEN detected THEN 'none' ELSE 'not_enough_reflector_points' END AS message, CAST(count(*) OVER w AS VARCHAR) AS frames_seen, CAST(sum((NOT detected)::INTEGER) OVER w AS VARCHAR) AS frames_missed, status, CAST(inliers AS VARCHAR) AS inliers FROM s WINDOW w AS (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def diagnostics(spark, sf_dir):
+    seen = F.col("kind") != "error"
+    m = meas(spark, sf_dir).select("stream", "seq", F.when(~seen, "LOST").when(F.col("seq") % 2 == 0, "GOOD").otherwise("DEGRADED").alias("status"), seen.alias("detected"), (F.col("seq") % 60).cast("int").alias("inliers"), ((F.col("seq") % 10) / C.d(10)).alias("rms"), F.when(seen, "none").otherwise("not_enough_reflector_points").alias("reason"))
+    return equipment.diagnostics(m).select("stream", "seq", "level", "message", *[F.col("values")[k].alias(k) for k in ("frames_seen", "frames_missed", "status", "inliers")])
+
+
+#: Factors with many decimals, so that no smoothed value lies between two rounded ones.
+_ODD = 0.0710678
+_SIDE = {s: (i, f"(v * {i + 3 + _ODD}::DOUBLE + seq % 50)") for i, s in enumerate(("left_front", "left_rear", "right_front", "right_rear"))}
+_TURN = {"roll": f"v / {10 + _ODD}::DOUBLE", "pitch": f"-v / {12 + _ODD}::DOUBLE", "yaw": f"(v * {3 + _ODD}::DOUBLE)"}
+
+
+def _filters_sql() -> str:
+    """Seven filters, each with its own memory, one step a row; invalid values pass and leave the memory."""
+    state = ", ".join([*(f"{a}, {a}_valid" for a in _TURN), *(f"{s}, {s}_valid" for s in _SIDE)])
+    first = ", ".join([*(f"CASE WHEN {a}_valid THEN {a} END AS {a}_last" for a in _TURN), *(f"CASE WHEN {s}_valid THEN {s} END AS {s}_last, false AS {s}_jump" for s in _SIDE)])
+    later = []
+    for a in _TURN:
+        turn = f"(d.{a} - t.{a}_last)"
+        if a == "yaw":
+            turn = f"(CASE WHEN {turn} > 180 THEN {turn} - 360 * ceil(({turn} - 180) / 360) WHEN {turn} < -180 THEN {turn} + 360 * ceil((-180 - {turn}) / 360) ELSE {turn} END)"
+        value = f"(t.{a}_last + 0.1::DOUBLE * {turn})"
+        if a == "yaw":
+            value = f"(CASE WHEN {value} > 180 THEN {value} - 360 * ceil(({value} - 180) / 360) WHEN {value} < -180 THEN {value} + 360 * ceil((-180 - {value}) / 360) ELSE {value} END)"
+        later.append(f"CASE WHEN NOT d.{a}_valid THEN t.{a}_last WHEN t.{a}_last IS NULL THEN d.{a} WHEN abs({turn}) > 3 THEN t.{a}_last ELSE {value} END")
+    for s in _SIDE:
+        far = f"coalesce(abs(d.{s} - t.{s}_last) > 300, false)"
+        later.append(f"CASE WHEN NOT d.{s}_valid OR {far} THEN t.{s}_last WHEN t.{s}_last IS NULL THEN d.{s} ELSE 0.3::DOUBLE * d.{s} + (1 - 0.3::DOUBLE) * t.{s}_last END, d.{s}_valid AND {far}")
+    raw = ", ".join([*(f"{e} AS {a}, seq % {3 + i} <> 0 AS {a}_valid" for i, (a, e) in enumerate(_TURN.items())), *(f"CAST({e} AS DOUBLE) AS {s}, seq % {5 + i} <> 0 AS {s}_valid" for s, (i, e) in _SIDE.items())])
+    out = ", ".join([*(f"round(CASE WHEN {a}_valid THEN {a}_last ELSE {a} END, 6) AS {a}_deg" for a in _TURN), *(f"round(CASE WHEN {s}_valid AND NOT {s}_jump THEN {s}_last ELSE {s} END, 6) AS {s}_mm, {s}_valid AND NOT {s}_jump AS {s}_valid, CASE WHEN {s}_jump THEN 'DISTANCE_JUMP_REJECTED' ELSE 'none' END AS {s}_reason" for s in _SIDE)])
+    jump, attitude = " OR ".join(f"{s}_jump" for s in _SIDE), " OR ".join(f"{a}_valid" for a in _TURN)
+    return f"""WITH RECURSIVE {MEAS}, num AS (SELECT stream, seq, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n, CASE WHEN seq % 2 = 0 THEN 'OK' ELSE 'DEGRADED' END AS status, CASE seq % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'PARTIAL_VALID' ELSE 'LOW_GROUND_POINTS' END AS reason, {raw} FROM meas),
+t AS (SELECT stream, n, seq, status, reason, {state}, {first} FROM num WHERE n = 1 UNION ALL SELECT d.stream, d.n, d.seq, d.status, d.reason, {', '.join('d.' + c for c in state.split(', '))}, {', '.join(later)} FROM t JOIN num d ON d.stream = t.stream AND d.n = t.n + 1)
+SELECT stream, seq, {out}, {attitude} AS attitude_valid, {' AND '.join(f'{s}_valid AND NOT {s}_jump' for s in _SIDE)} AS distances_valid,
+CASE WHEN ({jump}) AND reason IN ('none', 'PARTIAL_VALID') THEN CASE WHEN {attitude} THEN 'DEGRADED' ELSE 'INVALID' END ELSE status END AS status, CASE WHEN ({jump}) AND reason IN ('none', 'PARTIAL_VALID') THEN 'DISTANCE_JUMP_REJECTED' ELSE reason END AS reason FROM t"""
+
+
+@query(_filters_sql())
+def equipment_filtered(spark, sf_dir):
+    """States through the filters of three angles and four distances, with the downgrade after a jump."""
+    seq, v = F.col("seq"), F.col("v")
+    turns = {"roll": v / C.d(10 + _ODD), "pitch": -v / C.d(12 + _ODD), "yaw": v * C.d(3 + _ODD)}
+    values = [*(e.alias(f"{a}_deg") for a, e in turns.items()), *((seq % (3 + i) != 0).alias(f"{a}_valid") for i, a in enumerate(turns)), *((v * C.d(i + 3 + _ODD) + seq % 50).cast("double").alias(f"{s}_mm") for s, (i, _) in _SIDE.items()), *((seq % (5 + i) != 0).alias(f"{s}_valid") for s, (i, _) in _SIDE.items()), *(F.lit("none").alias(f"{s}_reason") for s in _SIDE)]
+    states = meas(spark, sf_dir).select("stream", "seq", F.when(seq % 2 == 0, "OK").otherwise("DEGRADED").alias("status"), F.when(seq % 3 == 0, "none").when(seq % 3 == 1, "PARTIAL_VALID").otherwise("LOW_GROUND_POINTS").alias("reason"), *values)
+    return rounded(equipment.filtered(states, order=("seq",)), *(f"{a}_deg" for a in turns), *(f"{s}_mm" for s in _SIDE))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.columns import compose, euler_matrix, finite
 from ..schemas import CALIBRATION
@@ -62,6 +63,38 @@ def captured_stream(spark: SparkSession, path: str, port: int, sensor: str, sour
     return packets_of(spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_a_trigger).load(path), port, sensor, source)
 
 
+def captured_statuses(spark: SparkSession, path: str, port: int, sensor: str, source: str | None = None) -> DataFrame:
+    """(sensor, stamp_ns, angles) of the status packets in the capture files under a path, which arrive at a port of their own."""
+    from ..operators.packets import status_angles
+
+    return status_angles(captured_packets(spark, path, port, sensor, source).select("sensor", "stamp_ns", "data"))
+
+
+def replayed(packets: DataFrame, rate: float, times: int = 1, repeat_delay: float = 0.0, paced: bool = True) -> DataFrame:
+    """Packets as a replay sends them: `times` passes with a pause between, at so many packets a second, or at the stamps of the
+    capture. packets: sensor, packet_no, stamp_ns and others; adds pass and sent_s, seconds since the replay began."""
+    span = packets.groupBy("sensor").agg(F.min("stamp_ns").alias("_from"), F.max("stamp_ns").alias("_to"), F.min("packet_no").alias("_first"), F.count("*").alias("_n"))
+    offset = (F.col("packet_no") - F.col("_first")) / F.lit(float(rate)) if paced else (F.col("stamp_ns") - F.col("_from")) / F.lit(1e9)
+    length = F.col("_n") / F.lit(float(rate)) if paced else (F.col("_to") - F.col("_from")) / F.lit(1e9)
+    passes = packets.join(span, "sensor").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return passes.withColumn("sent_s", F.col("pass") * (length + F.lit(float(repeat_delay))) + offset).drop("_from", "_to", "_first", "_n")
+
+
+def registers_of(answers: DataFrame) -> DataFrame:
+    """(ts, address, raw) from recorded answers to register reads (ts, first, answer): a header of seven bytes, function 3, a
+    byte count and big-endian registers from address `first` on. An answer that is no such thing, or an exception, has none."""
+
+    def run(answer: pa.Array) -> pa.Array:
+        out = []
+        for x in answer.to_pylist():
+            whole = x is not None and len(x) >= 9 and x[7] == 3 and x[2:4] == b"\0\0" and len(x) >= 9 + x[8] and x[8] % 2 == 0
+            out.append(list(struct.unpack_from(f">{x[8] // 2}H", x, 9)) if whole else [])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    found = answers.select("ts", "first", F.posexplode(arrow_udf(run, "array<int>")("answer")).alias("i", "raw"))
+    return found.select("ts", (F.col("first") + F.col("i")).alias("address"), "raw")
+
+
 def calibration(spark: SparkSession, path: str, sensor: str) -> DataFrame:
     """schemas.CALIBRATION from a YAML file: lasers, with defaults for the keys that may be missing, and rings by angle."""
     import yaml

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echofield import config
 from echofield.config import PRESETS, Fusion, Geometry, Path, Target, Tracker, resolve
 from echofield.functions import columns as C
 from echofield.operators import equipment, joins, ordered, packets, points, robust, serving, windows
@@ -26,10 +27,12 @@ def run_track(rows, cfg):
     return [ordered.track(state, dict(stamp=t, detected=d, cx=x, cy=y, inliers=n, rms=r), cfg) for t, d, x, y, n, r in rows]
 
 
-def test_axis_meets_plane():
-    p, v = np.array([-8, 0.25, -0.7]), np.array([0.1, -0.2, 1.0])
-    at = p + v * (-0.142 - p[2]) / v[2]
-    assert at == pytest.approx([-7.9442, 0.1384, -0.142], abs=1e-4)
+def test_axis_meets_plane(spark):
+    """A direction of any length; an axis along the plane has no place there."""
+    point, axis, z = tuple(map(C.d, (-8.0, 0.25, -0.7))), tuple(map(C.d, (0.1, -0.2, 1.0))), C.d(-0.142)
+    r = spark.range(1).select(*C.axis_at_height(point, axis, z), *C.axis_at_height(point, (C.d(1), C.d(0), C.d(0)), z), C.radial_residual(tuple(map(C.d, (-7.0, 0.25, 5.0))), point, (C.d(0), C.d(0), C.d(2)), C.d(0.4))).first()
+    assert r[:2] == pytest.approx((-7.9442, 0.1384), abs=1e-4) and r[2] == pytest.approx(-0.142, abs=1e-9)
+    assert r[3:6] == (None, None, None) and r[6] == pytest.approx(0.6)
 
 
 def test_tracker_degrades_and_is_lost():
@@ -236,7 +239,84 @@ def test_stamps(spark):
     assert [r["warns"] for r in windows.age_flag(old, 2.0).collect()] == [False, True, True]
 
 
-def test_vertical_angles():
-    status = bytearray(1206)
-    status[834:898] = np.array([*range(-15, 0), 99], dtype="<f4").tobytes()
-    assert packets.vertical_angles(bytes(status), tuple(float(i) for i in range(16))) == [*map(float, range(-15, 0)), 15.0]
+def test_status_angles_by_the_rule(spark):
+    """Distinct angles in every slot, then slots out of their windows, written one after the other as the sensor's driver does."""
+
+    def driver(slots):
+        out = [0.0] * 16
+        for i, x in enumerate(slots):
+            if -16 + 2 * i <= x <= -14 + 2 * i:
+                out[(0, 2, 4, 6, 8, 10, 12, 14, 1, 3, 5, 7, 9, 11, 13, 15)[i]] = x
+            else:
+                out[i] = (-15, 1, -13, 3, -11, 5, -9, 7, -7, 9, -5, 11, -3, 13, -1, 15)[i]
+        return out
+
+    rng = np.random.default_rng(0)
+    every = [[-15.0 + 2 * i for i in range(16)], [99.0] * 16, [float("nan")] * 16, *([-15.5 + 2 * i if rng.random() < 0.6 else 50.0 for i in range(16)] for _ in range(30))]
+    rows = []
+    for n, slots in enumerate(every):
+        data = bytearray(1206)
+        data[834:898] = np.array(slots, dtype="<f4").tobytes()
+        rows.append(("0", n, bytes(data)))
+    got = packets.status_angles(spark.createDataFrame([*rows, ("0", 999, b"short"), ("0", 998, None)], "sensor string, stamp_ns long, data binary")).collect()
+    assert {r["stamp_ns"]: r["angles"] for r in got} == {n: driver(x) for n, x in enumerate(every)}
+    assert got[0]["angles"] == [-15, 1, -13, 3, -11, 5, -9, 7, -7, 9, -5, 11, -3, 13, -1, 15]
+
+
+def test_views_and_lists():
+    assert packets.view_sector(0, 180) == (0, 18000) and packets.view_sector(300, 30) == (30000, 3000) and packets.view_sector(10, 500) == (1000, 50000)
+    assert packets.view_sector(5, 5) == packets.view_sector(-1, 9) == packets.view_sector(361, 9) == (0, 36000)
+    assert packets.view_of(0.0, np.pi) == (27000, 9000) and packets.view_of(1.0, 0.0) == packets.view_of(1.0, 2 * np.pi) == (0, 36000)
+    assert packets.hidden_rings("3, 7,,x,12b") == [3, 7, 0, 12] and packets.hidden_rings("") == []
+    assert sorted(packets.LASER_RING) == list(range(64))
+
+
+def test_banks_keep_what_the_others_drop(spark):
+    """An unknown header ends a packet of the one family and not of the others; azimuths that go back are no matter."""
+    p = np.frombuffer(bytearray(packets.packet(35980, 40, 100)), dtype=packets.DTYPE)
+    p["blocks"]["header"][0, 3], p["blocks"]["header"][0, 5] = 0x1234, packets.LOWER_BANK
+    p["blocks"]["returns"]["range"][0, 0, :4] = 0
+    raw = spark.createDataFrame([("0", 1, p.tobytes()), ("0", 2, b"x"), ("0", 3, None)], "sensor string, packet_no long, data binary")
+    got = packets.bank_returns(raw).collect()
+    assert len(got) == 12 * 32 - 4 and {r["laser_id"] for r in got if r["block"] == 5} == set(range(32, 64)) and {r["laser_id"] for r in got if r["block"] == 3} == set(range(32))
+    assert {r["azimuth"] for r in got} == {(35980 + 40 * b) % 36000 for b in range(12)}
+    assert {r["block"] for r in packets.returns(raw).collect()} == {1, 2}
+
+
+def test_ring_buckets_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), int(r), float(rng.normal(5, 0.02 if rng.random() < 0.8 else 1))) for s, r in zip(np.sort(rng.choice(5000, 900, replace=False)), rng.integers(0, 3, 900))]
+    p = spark.createDataFrame(rows, "seq long, ring int, distance double")
+    whole = sorted(map(tuple, points.ring_denoise(p, (10.0,) * 4, by=("ring",)).collect()))
+    for width in (1, 2, 7, 100, 10_000):
+        assert sorted(map(tuple, points.ring_denoise(p, (10.0,) * 4, by=("ring",), width=width).collect())) == whole
+    assert len(whole) > 100
+
+
+def test_grid_neighbours_by_brute_force():
+    rng = np.random.default_rng(4)
+    clouds = [rng.normal(0, 1, (3000, 3)), np.c_[rng.uniform(-20, 20, (4000, 2)), rng.normal(0, 0.01, 4000)], np.vstack([np.zeros((1500, 3)), rng.uniform(-9, 9, (700, 3))]), np.c_[rng.uniform(0, 50, 2500), np.zeros((2500, 2))], np.zeros((1300, 3))]
+    for v in clouds:
+        got = points.nearest_means(v, 20)
+        some = rng.choice(len(v), 60, replace=False)
+        want = np.sort(np.sqrt(((v[some][:, None] - v[None]) ** 2).sum(axis=2)), axis=1)[:, :21].sum(axis=1) / 20
+        assert np.allclose(got[some], want)
+
+
+def test_identity_and_missing_poses(spark):
+    p = spark.createDataFrame([("base", 1.0, 2.0, 3.0), ("a", 1.0, 2.0, 3.0), ("b", 1.0, 2.0, 3.0)], "sensor string, x double, y double, z double")
+    t = spark.createDataFrame([("a", 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0)], "sensor string, " + ", ".join(f"m{i}{j} double" for i in range(3) for j in range(3)) + ", tx double, ty double, tz double")
+    assert sorted(tuple(r) for r in points.rigid(p, t, target="base").collect()) == [("a", -1.0, 1.0, 3.0), ("base", 1.0, 2.0, 3.0)]
+
+
+def test_families_and_settings():
+    assert config.sensor_family("x: 1\n  driver_family: 'tmlidar' # site\n") == "tmlidar" and config.sensor_family("driver_family: tmlidar", "timoo") == "tm16" and config.sensor_family() == "tm16"
+    with pytest.raises(ValueError):
+        config.sensor_family("driver_family: other")
+    for wrong in ({"topics": ("a",)}, {"topics": ("a", "")}, {"output_frame": ""}):
+        with pytest.raises(ValueError):
+            config.Fusion(**wrong)
+    f = config.Fusion(slop_s=-1, leaf=0, tf_wait_s=-3, queue=0, min_points=-5)
+    assert (f.slop_s, f.leaf, f.tf_wait_s, f.queue, f.min_points) == (0.05, 0.05, 0.05, 20, 0)
+    e = config.Equipment(distance_alpha=3, angle_alpha=-1, geometry=config.Geometry(forward_sign=-7, percentile=2))
+    assert (e.distance_alpha, e.angle_alpha, e.geometry.forward_sign, e.geometry.percentile) == (1.0, 0.0, -1, 1.0)

@@ -125,9 +125,10 @@ def test_inertial_and_archive(spark):
 
 def test_status_recalibrates_and_grids(spark):
     c = packets.example_calibration(spark, ("0",))
-    status = spark.createDataFrame([("0", 1, [0.0] * 16), ("0", 2, [float(i) for i in range(16)])], "sensor string, stamp_ns long, angles array<float>")
-    new = {r["laser_id"]: r for r in packets.recalibrated(c, status).collect()}
-    assert new[3]["vert_correction"] == pytest.approx(np.radians(3)) and new[3]["ring"] == 3
+    status = spark.createDataFrame([("0", 10, [0.0] * 16), ("0", 20, [float(i) for i in range(16)])], "sensor string, stamp_ns long, angles array<double>")
+    dated = spark.createDataFrame([("0", i, i, packets.packet(0, 40, 2000)) for i in (4, 10, 19, 25)], "sensor string, packet_no long, stamp_ns long, data binary")
+    z = {r["packet_no"]: r for r in packets.decode_recalibrated(dated, c, status).where("laser_id = 3 AND block = 0 AND firing = 0").collect()}
+    assert [z[i]["z"] for i in (4, 10, 19, 25)] == pytest.approx([10 * np.sin(np.radians(x)) for x in (-9, 0, 0, 3)]) and all(r["ring"] == 3 for r in z.values())
     raw = spark.createDataFrame([("0", i, packets.packet(480 * i, 40, 2000)) for i in (4, 9)], "sensor string, packet_no long, data binary")
     g = packets.grid(packets.decode(raw, c))
     assert g.agg(F.max("row"), F.max("col"), F.countDistinct("row", "col")).first()[:] == (47, 15, 768)
@@ -146,3 +147,82 @@ def test_as_of_in_buckets(spark):
     rows = [(r["at"], r["value"]) for r in right.collect()]
     for key, _, stamp, value in cut:
         assert value == max((r for r in rows if r[0] <= stamp and key == "k"), default=(0, None))[1]
+
+
+def test_streams_with_equal_frame_numbers_stay_apart(spark):
+    """Two targets, two streams that number their frames alike: each track is what its stream gives alone."""
+    from echofield.config import Target, Tracker
+    from echofield.plans import flow
+
+    def target(stream, cx, cy):
+        turn = np.arctan2(-cy, -cx)
+        return [(stream, f, i, float(cx + 0.125 * np.cos(a)), float(cy + 0.125 * np.sin(a)), z, 250.0) for f in range(3) for i, (a, z) in enumerate([(turn + b, z) for b in np.linspace(-0.6, 0.6, 15) for z in (-0.4, 0.0, 0.4)])]
+
+    schema = "stream long, frame_no long, seq long, x double, y double, z double, intensity double"
+    rows, stamps = target(1, -8.0, 0.0) + target(2, -6.0, 1.0), [(s, f, f / 10) for s in (1, 2) for f in range(3)]
+    cfg = Target(sor_sigma=5.0, tolerance=0.05)
+
+    def track(rows, stamps):
+        got = flow.target_track(spark.createDataFrame(rows, schema), spark.createDataFrame(stamps, "stream long, frame_no long, stamp double"), cfg, Tracker())
+        return {(r["stream"], r["seq"]): (r["cx"], r["cy"], r["status"]) for r in got.collect()}
+
+    both = track(rows, stamps)
+    for s in (1, 2):
+        alone = track([r for r in rows if r[0] == s], [r for r in stamps if r[0] == s])
+        assert all(both[k] == pytest.approx(v) for k, v in alone.items()) and len(alone) == 3
+    assert abs(both[1, 2][0] + 8) < 0.06 and abs(both[2, 2][0] + 6) < 0.06
+
+
+def test_a_cloud_without_a_pose_drops_its_group(spark):
+    from echofield.plans import flow
+
+    clouds = spark.createDataFrame([("s", x, n, n + k / 100) for n in range(4) for k, x in enumerate("ab")], "stream string, sensor string, seq long, stamp double")
+    cloud_points = spark.createDataFrame([("s", x, n, i, 1.0, float(i), 0.0, 9.0, 0, 0.0) for n in range(4) for x in "ab" for i in range(2)], "stream string, sensor string, cloud_seq long, seq long, x double, y double, z double, intensity double, ring int, time double")
+    poses = spark.createDataFrame([(x, t, 0.0, 0.0, 0.0, 1.0, 10.0 * t, 0.0, 0.0) for x, t in (("a", 0.0), ("a", 0.98), ("a", 2.0), ("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", 2.9))], "sensor string, at double, qx double, qy double, qz double, qw double, tx double, ty double, tz double")
+    got = flow.fused_at(clouds, cloud_points, poses, ["a", "b"]).collect()
+    assert {(r["out_stamp"], r["sensor"], r["x"]) for r in got} == {(1.0, "a", 10.8), (1.0, "b", 11.0), (2.0, "a", 21.0), (2.0, "b", 21.0)}
+    assert all(r["time"] == pytest.approx(0.0 if r["sensor"] == "a" else 0.01) for r in got)
+
+
+def test_equipment_in_order(spark):
+    """Input before the filters: a lost frame leaves the memory alone, and a jump lowers what is not lowered yet."""
+    from echofield.config import Equipment, Geometry
+    from echofield.plans import flow
+
+    walls = lambda y: [(x, s * y, z) for x in np.arange(-5, 5.1, 0.25) for s in (1, -1) for z in (0.6, 0.8, 1.0, 1.2)]
+    ground = [(x, y, -0.8) for x in np.arange(-3, 3.1, 0.3) for y in np.arange(-1.0, 1.01, 0.25)]
+    rows = [(f, i, float(x), float(y), float(z)) for f, w in enumerate((1.5, 1.6, 3.0, 1.6)) for i, (x, y, z) in enumerate(ground + walls(w))]
+    inputs = spark.createDataFrame([(f, 500 if f != 1 else 0, 0.0, "") for f in range(4)], "frame_no long, n long, age_s double, failure string")
+    cfg = Equipment(geometry=Geometry(side_z=(0.5, 1.5)))
+    cloud = spark.createDataFrame(rows, "frame_no long, seq long, x double, y double, z double")
+    got = {r["frame_no"]: r for r in flow.equipment_track(cloud, inputs, cfg, robust_plane=False).collect()}
+    assert got[0]["status"] == "OK" and got[0]["left_front_mm"] == pytest.approx(1500)
+    assert (got[1]["status"], got[1]["reason"], got[1]["left_front_valid"]) == ("LOST", "NO_POINTCLOUD", False)
+    assert (got[2]["reason"], got[2]["status"], got[2]["left_front_valid"], got[2]["left_front_reason"]) == ("DISTANCE_JUMP_REJECTED", "DEGRADED", False, "DISTANCE_JUMP_REJECTED")
+    assert got[3]["left_front_mm"] == pytest.approx(0.3 * 1600 + 0.7 * 1500) and got[3]["status"] == "OK"
+
+
+def test_captured_statuses_and_registers(spark, tmp_path):
+    import struct
+
+    status = bytearray(1206)
+    status[834:898] = np.array([-15.0 + 2 * i for i in range(16)], dtype="<f4").tobytes()
+    head = bytearray(42)
+    head[23], head[36:38] = 17, struct.pack(">H", 7788)
+    body = bytes(head) + bytes(status)
+    (tmp_path / "a.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + bytes(20) + struct.pack("<4I", 3, 500, len(body), len(body)) + body)
+    r = readers.captured_statuses(spark, str(tmp_path), 7788, "s").collect()
+    assert len(r) == 1 and r[0]["stamp_ns"] == 3_000_500_000 and r[0]["angles"][:4] == [-15.0, 1.0, -13.0, 3.0]
+    rows = [(1, 10, struct.pack(">HHHBBB2H", 1, 0, 7, 1, 3, 4, 40000, 5)), (2, 10, struct.pack(">HHHBBB", 1, 0, 3, 1, 0x83, 2)), (3, 10, b""), (4, 10, None), (5, 10, struct.pack(">HHHBBBH", 1, 0, 7, 1, 3, 4, 7))]
+    got = readers.registers_of(spark.createDataFrame(rows, "ts long, first long, answer binary")).collect()
+    assert sorted(map(tuple, got)) == [(1, 10, 40000), (1, 11, 5)]
+
+
+def test_current_path(spark):
+    from echofield.config import Path
+    from echofield.operators import ordered
+
+    rows = [("s", i, "a" if i < 4 else "b", "map", float(i), float(i), 0.0, 0.0) for i in range(12)]
+    p = spark.createDataFrame(rows, "stream string, seq long, source string, frame_id string, stamp double, x double, y double, z double")
+    got = ordered.path(p, Path(min_step_m=1.5, max_points=3)).collect()
+    assert sorted(r["seq"] for r in got) == [6, 8, 10]
