@@ -193,7 +193,7 @@ def test_equipment_in_order(spark):
     ground = [(x, y, -0.8) for x in np.arange(-3, 3.1, 0.3) for y in np.arange(-1.0, 1.01, 0.25)]
     rows = [(f, i, float(x), float(y), float(z)) for f, w in enumerate((1.5, 1.6, 3.0, 1.6)) for i, (x, y, z) in enumerate(ground + walls(w))]
     inputs = spark.createDataFrame([(f, 500 if f != 1 else 0, 0.0, "") for f in range(4)], "frame_no long, n long, age_s double, failure string")
-    cfg = Equipment(geometry=Geometry(side_z=(0.5, 1.5)))
+    cfg = Equipment(geometry=Geometry(side_z=(0.5, 1.5), min_distance=3))
     cloud = spark.createDataFrame(rows, "frame_no long, seq long, x double, y double, z double")
     got = {r["frame_no"]: r for r in flow.equipment_track(cloud, inputs, cfg, robust_plane=False).collect()}
     assert got[0]["status"] == "OK" and got[0]["left_front_mm"] == pytest.approx(1500)
