@@ -327,7 +327,7 @@ def target_marker(spark, sf_dir):
     return c.select("frame_no", F.round("cx", 6).alias("x"), F.round("cy", 6).alias("y"), F.round(C.d((low + high) / 2), 6).alias("z"), C.d(2 * _R.mean_radius).alias("diameter"), F.round(C.d(high - low), 6).alias("height"))
 
 
-@query(f"WITH {PTS} SELECT frame_no, seq, CASE WHEN isfinite(x) THEN printf('%.3f', x) ELSE '---' END AS x3, CASE WHEN isfinite(z) THEN printf('%.0f', z * 1000) ELSE '---' END AS z_mm FROM pts WHERE seq % 2 = 1")
+@query(f"WITH {PTS} SELECT frame_no, seq, CASE WHEN isfinite(x) THEN printf('%.3f', x) ELSE '---' END AS x3, CASE WHEN isfinite(z) THEN printf('%.0f', z * 1000) ELSE '---' END AS z_mm FROM pts")
 def display_text(spark, sf_dir):
     return pts(spark, sf_dir).select("frame_no", "seq", C.shown(F.col("x"), 3).alias("x3"), C.shown(F.col("z") * 1000, 0).alias("z_mm"))
 

@@ -309,7 +309,7 @@ def jump_downgrade(spark, sf_dir):
     return m.select("stream", "seq", s.alias("status"), r.alias("reason"))
 
 
-@query(f"""WITH {MEAS}, p AS (SELECT CAST(stream % 3 AS VARCHAR) AS sensor, seq AS n FROM meas WHERE seq % 10 = 0),
+@query(f"""WITH {MEAS}, p AS (SELECT CAST(stream % 3 AS VARCHAR) AS sensor, seq AS n FROM meas),
 r AS (SELECT sensor, n, k, f, (n * 480 % 36000 + 40 * b) % 36000 AS rot, b, (n * 480 % 36000 + 40 * (b + 1)) % 36000 AS after FROM p, range(12) t(b), range(2) u(f), range(16) w(k)),
 a AS (SELECT sensor, k, CAST(floor(rot + 40 * ((k * 3.072::DOUBLE + f * 49.152::DOUBLE) / 98.304::DOUBLE) + 0.5::DOUBLE) AS INTEGER) % 36000 AS azimuth, (1000 + n % 3000) * 0.005::DOUBLE AS distance FROM r WHERE NOT (b = 0 AND after < rot))
 SELECT sensor, count(*) AS n, round(avg(distance), 6) AS distance, round(avg(distance * cos(radians(-15 + 2 * k)) * cos(radians(azimuth / 100::DOUBLE))), 6) AS x, max(azimuth) AS max_azimuth FROM a GROUP BY sensor""")
