@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Target
 from ..functions.columns import d
+from .points import rotate
 from .windows import path_stride
 
 # The cloud packet's header and point layouts, its magic, version and field bits.
@@ -45,8 +47,11 @@ def decode(data: bytes) -> tuple[dict, np.ndarray]:
     return {n: int(head[n]) for n in HEADER.names}, np.frombuffer(data, dtype=POINT, offset=HEADER.itemsize)
 
 
-def encode_clouds(points: DataFrame, by: str = "frame_no", order: str = "seq", cloud_type: int = CURRENT) -> DataFrame:
-    """(by, n, packet): one packet a frame, its points in order. A task holds one frame."""
+def encode_clouds(points: DataFrame, by: str = "frame_no", order: str = "seq", cloud_type: int = CURRENT, pose: tuple[tuple, tuple] | None = None) -> DataFrame:
+    """(by, n, packet): one packet a frame, its points in order and under a pose (quaternion, offset) where one is given. A task
+    holds one frame."""
+    if pose is not None:
+        points = rotate(points, *pose)
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
         at = np.argsort(frame[order].to_numpy(), kind="stable")
@@ -168,3 +173,9 @@ def drop_counters(rows: DataFrame, reason: str = "drop_reason", name: str = "dro
     seen = Observation(name)
     counts = [F.count_if(F.col(reason) == r).alias(r) for r in ("zero_stamp", "empty_frame_id", "empty", "min_points", "missing_field", "none")]
     return rows.observe(seen, F.count("*").alias("all"), *counts), seen
+
+
+def marker(centres: DataFrame, cfg: Target = Target(), by: str = "frame_no") -> DataFrame:
+    """The cylinder that a display draws at each centre (cx, cy): as high as the target's region, in its middle."""
+    low, high = cfg.roi_z
+    return centres.select(by, F.col("cx").alias("x"), F.col("cy").alias("y"), d((low + high) / 2).alias("z"), d(2 * cfg.mean_radius).alias("diameter"), d(high - low).alias("height"))

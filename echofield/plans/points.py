@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Equipment, Geometry, Target
 from ..functions import columns as C
-from ..operators import equipment, points, robust, windows
+from ..operators import equipment, points, robust, serving, windows
 from .registry import query
 from .views import BIG, PTS, cloud_big, meas, pts
 
@@ -322,9 +322,7 @@ def target_displacement(spark, sf_dir):
 
 @query(f"WITH {_CENTRE} SELECT frame_no, round(cx, 6) AS x, round(cy, 6) AS y, round((-1.342::DOUBLE + 0.858::DOUBLE) / 2, 6) AS z, 2.0::DOUBLE AS diameter, round(0.858::DOUBLE + 1.342::DOUBLE, 6) AS height FROM centre")
 def target_marker(spark, sf_dir):
-    c = robust.target_centre(pts(spark, sf_dir), _R)
-    low, high = Target().roi_z
-    return c.select("frame_no", F.round("cx", 6).alias("x"), F.round("cy", 6).alias("y"), F.round(C.d((low + high) / 2), 6).alias("z"), C.d(2 * _R.mean_radius).alias("diameter"), F.round(C.d(high - low), 6).alias("height"))
+    return rounded(serving.marker(robust.target_centre(pts(spark, sf_dir), _R), _R), "x", "y", "z", "height")
 
 
 @query(f"WITH {PTS} SELECT frame_no, seq, CASE WHEN isfinite(x) THEN printf('%.3f', x) ELSE '---' END AS x3, CASE WHEN isfinite(z) THEN printf('%.0f', z * 1000) ELSE '---' END AS z_mm FROM pts")

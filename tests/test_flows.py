@@ -226,3 +226,24 @@ def test_current_path(spark):
     p = spark.createDataFrame(rows, "stream string, seq long, source string, frame_id string, stamp double, x double, y double, z double")
     got = ordered.path(p, Path(min_step_m=1.5, max_points=3)).collect()
     assert sorted(r["seq"] for r in got) == [6, 8, 10]
+
+
+def test_streams_are_published_and_delivered(spark, tmp_path):
+    from echofield.streaming import sinks
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i, float(i)) for i in range(30)], "stream string, seq long, v double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    sinks.published(stream, str(tmp_path / "out"), str(tmp_path / "c1"), ("stream",)).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30 and (tmp_path / "out" / "stream=a").exists()
+    seen = []
+    sinks.delivered(stream, lambda batch, n: seen.extend((n, r["stream"], r["seq"]) for r in batch.collect()), str(tmp_path / "c2"), 2).awaitTermination()
+    assert sorted(seen) == [(0, "a", 28), (0, "a", 29), (0, "b", 24), (0, "b", 27)]
+
+
+def test_clouds_are_encoded_under_a_pose(spark):
+    from echofield.operators import serving
+
+    p = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0, 10.0, 1)], "frame_no long, seq long, x double, y double, z double, intensity double, lidar_id int")
+    r = serving.decode_clouds(serving.encode_clouds(p, pose=((0.0, 0.0, 2.0, 2.0), (1.0, -2.0, 0.5)))).first()
+    assert (r["x"], r["y"], r["z"]) == pytest.approx((-1.0, -1.0, 3.5))
