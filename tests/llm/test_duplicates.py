@@ -230,8 +230,32 @@ def test_links_by_brute_force():
                 got |= {((a, b), y) for y in ends[h] if a not in (y[0], ends[h][0][0])}
         assert got == want
     h = np.array([5, 3, 5, 5, 3], dtype=np.uint64)
-    n = passages.numbered(h)
-    assert n[0] == 5 and n[1] == 3 and len(set(n.tolist())) == 5 and passages.numbered(h[[2, 1, 0]])[2] == n[2]
+    n = passages.numbered(h, np.zeros(5, int))
+    assert n[0] == 5 and n[1] == 3 and len(set(n.tolist())) == 5 and passages.numbered(h[[2, 1, 0]], np.zeros(3, int))[2] == n[2]
+    assert passages.numbered(h, np.arange(5)).tolist() == h.tolist()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 140), st.integers(2, 400)), min_size=1, max_size=6), st.randoms(use_true_random=False))
+def test_seeds_of_many_texts_are_those_of_each(lengths, rng):
+    """By brute force: the smallest five-word hash of any sixteen neighbours, of texts of fifty words, whatever stands beside."""
+    texts = [" ".join(f"w{rng.randrange(kinds)}" for _ in range(n)).encode() for n, kinds in lengths]
+    together = passages.Texts(texts)
+    h, at = passages.seeds(together)
+    c, c_at = passages.contexts(together, at)
+    for i, text in enumerate(texts):
+        words = passages.word_hashes(text)
+        assert together.words[together.begin[i] : together.end[i]].tolist() == words.tolist()
+        up = passages.powers(5)[0]
+        grams = [int(passages.mixed(sum(words[k + j : k + j + 1] * up[j] for j in range(5)))[0]) for k in range(len(words) - 4)]
+        keep = sorted({k for a in range(len(grams) - 15) for k in range(a, a + 16) if grams[k] == min(grams[a : a + 16])}) if len(words) >= 50 else []
+        own = together.of[at] == i
+        assert (at[own] - together.begin[i]).tolist() == keep and h[own].tolist() == [grams[k] for k in keep]
+        around = c[together.of[c_at] == i].tolist()
+        alone = [k for k in keep if k >= 15 and k + 20 <= len(words)]
+        assert len(around) == len(alone)
+        for x, k in zip(around, alone):
+            assert x == int(passages.stretches(words[k - 15 : k + 20], 35)[0])
 
 
 def test_many_regions_of_one_text(spark):
