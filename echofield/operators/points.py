@@ -131,9 +131,9 @@ def ring_denoise(points: DataFrame, thresholds: tuple[float, ...], by: tuple[str
         halo = led.select("_b", F.explode(F.slice("_e", -F.least(F.size("_e"), F.lit(3)), F.lit(3))).alias("_e"))
         cut = cut.unionByName(halo.select("_e._p.*", "_b", F.lit(False).alias("_own")))
     w = W.partitionBy(*keys).orderBy(order)
-    now, limit = F.col(distance), d(BANDS[-1][1] * 0.1 * thresholds[-1])
+    now, limit = F.col(distance), d(0.1 * thresholds[-1] * BANDS[-1][1])
     for (end, factor), t in reversed(list(zip(BANDS[:-1], thresholds[:-1]))):
-        limit = F.when(now < d(end), d(factor * 0.1 * t)).otherwise(limit)
+        limit = F.when(now < d(end), d(0.1 * t * factor)).otherwise(limit)  # 48 * 0.1 * 10 is above 48
     d1, d2, d3 = (F.lag(distance, k).over(w) for k in (1, 2, 3))
     mid = F.lag(F.struct(*points.columns), 2).over(w)
     near = (d(200) * F.abs(d3 - d2) < limit) & (d(200) * F.abs(d1 - d2) < limit)
