@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, stamp: str, value: str, right_stamp: str = "at", width: float | None = None) -> DataFrame:
     """left with the value of the right row of its key that is latest at or before its stamp, null for none.
@@ -32,23 +34,28 @@ def synchronised(clouds: DataFrame, sensors: list[str], slop: float, by: str = "
 
     Rule: the first sensor, or the one named, is the pivot: the one with the fewest clouds makes the fewest candidates. For each of its clouds and each other sensor the nearest stamp within slop is chosen
     (ties: earlier, then lower seq); a group stays if it is the best one, by span and then pivot stamp, for each cloud in it.
-    Stamps are bucketed by slop, so candidates come from an equi-join on three neighbouring buckets, never a cross join.
-    clouds: stream, sensor, seq, stamp.
+    The nearest stamp is the last one before or the first one after, so two running values find it and no pairs are made, however
+    many clouds are within slop. Stamps are cut into buckets that run in parallel: each has the last cloud of the bucket before
+    and the first of the one after. Clouds without a key or a finite stamp are in no group. clouds: stream, sensor, seq, stamp.
     """
     if pivot_sensor is not None:
         at = sensors.index(pivot_sensor)
         turned = synchronised(clouds, [pivot_sensor, *sensors[:at], *sensors[at + 1 :]], slop, by)
         place = {s: i for i, s in enumerate([pivot_sensor, *sensors[:at], *sensors[at + 1 :]])}
         return turned.select(by, "stamp", "span", *[F.col(f"seq_{place[s]}").alias(f"seq_{i}") for i, s in enumerate(sensors)])
-    bucket = F.floor(F.col("stamp") / F.lit(slop)).cast("long")
-    pivot = clouds.where(F.col("sensor") == sensors[0]).select(by, F.col("seq").alias("seq_0"), F.col("stamp").alias("stamp_0"))
-    out = pivot
-    for i, sensor in enumerate(sensors[1:], 1):
-        near = clouds.where(F.col("sensor") == sensor).select(by, F.col("seq").alias(f"seq_{i}"), F.col("stamp").alias(f"stamp_{i}"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
-        gap = F.abs(F.col("stamp_0") - F.col(f"stamp_{i}"))
-        pairs = pivot.withColumn("_b", F.floor(F.col("stamp_0") / F.lit(slop)).cast("long")).join(near, [by, "_b"]).where(gap <= F.lit(slop))
-        best = pairs.groupBy(by, "seq_0").agg(F.min(F.struct(gap.alias("gap"), f"stamp_{i}", f"seq_{i}")).alias("p"))
-        out = out.join(best.select(by, "seq_0", f"p.stamp_{i}", f"p.seq_{i}"), [by, "seq_0"])
+    # Stamps within slop are in one bucket or in neighbours, also where the quotients are rounded.
+    dated = clouds.where(finite(F.col("stamp")) & F.col(by).isNotNull()).select(by, F.floor(F.col("stamp") / F.lit(2 * slop)).cast("long").alias("_b"), "sensor", "stamp", "seq")
+    pivot = dated.where((F.col("sensor") == sensors[0]) & F.col("seq").isNotNull()).distinct()
+    others = dated.where(F.col("sensor").isin(*sensors[1:])).groupBy(by, "_b", "sensor", "stamp").agg(F.min("seq").alias("seq"))
+    ends = others.groupBy(by, "_b", "sensor").agg(*[f(F.struct("stamp", "seq")).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+    halo = ends.select(by, F.explode(F.array(F.struct((F.col("_b") - 1).alias("_b"), F.col("lo").alias("c")), F.struct((F.col("_b") + 1).alias("_b"), F.col("hi").alias("c")))).alias("e"), "sensor").select(by, "e._b", "sensor", "e.c.stamp", "e.c.seq")
+    # Of equal stamps the pivot's row comes last, both ways.
+    sides = [W.partitionBy(by, "_b").orderBy(order, F.col("sensor") == sensors[0]).rowsBetween(W.unboundedPreceding, W.currentRow) for order in (F.asc("stamp"), F.desc("stamp"))]
+    found = {f"_{k}{i}": F.last(F.when(F.col("sensor") == sensor, F.struct("stamp", "seq")), ignorenulls=True).over(w) for i, sensor in enumerate(sensors[1:], 1) for k, w in enumerate(sides)}
+    out = pivot.union(others).union(halo).withColumns(found).where(F.col("sensor") == sensors[0]).select(by, F.col("seq").alias("seq_0"), F.col("stamp").alias("stamp_0"), *found)
+    for i in range(1, len(sensors)):
+        near = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("stamp_0") - F.col(c)["stamp"]).alias("gap"), F.col(c)["stamp"].alias(f"stamp_{i}"), F.col(c)["seq"].alias(f"seq_{i}"))) for c in (f"_0{i}", f"_1{i}")]
+        out = out.withColumn("p", F.least(*near)).where(F.col("p.gap") <= F.lit(slop)).select("*", f"p.stamp_{i}", f"p.seq_{i}").drop("p")
     stamps = [F.col(f"stamp_{i}") for i in range(len(sensors))]
     out = out.withColumns({"stamp": F.least(*stamps), "span": F.greatest(*stamps) - F.least(*stamps)}).where(F.col("span") <= F.lit(slop))
     for i in range(1, len(sensors)):

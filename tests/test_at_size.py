@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from echofield.operators import packets, points
+from echofield.operators import joins, packets, points
 
 
 def plan_of(frame):
@@ -13,3 +13,24 @@ def test_denoise_limit_is_that_of_the_sql(spark):
     """200 * 0.24 is 48.0, no less than the limit of its band."""
     rows = spark.createDataFrame([(0, i, v) for i, v in enumerate((0.24, 0.0, 0.1, 6.0))], "ring int, seq long, distance double")
     assert 200 * 0.24 == 48.0 and not points.ring_denoise(rows, (10.0,) * 4, by=("ring",)).collect()
+
+
+def test_synchronised_makes_no_pairs(spark):
+    """A thousand clouds of each sensor within slop: a join of them has a million pairs."""
+    rng = np.random.default_rng(5)
+    rows = [(0, s, 1000 * k + i, float(t)) for k, s in enumerate("ABC") for i, t in enumerate(rng.integers(0, 500, 1000) / 1000)]
+    rows += [(1, s, i, t) for s in "ABC" for i, t in enumerate((0.0, 0.0, 6.0, 11.9999, 17.5, float("nan"), float("inf")))]
+    frame = joins.synchronised(spark.createDataFrame(rows, "stream int, sensor string, seq long, stamp double"), ["A", "B", "C"], 1.0)
+    assert "Join" not in plan_of(frame)
+    want = []
+    for stream in (0, 1):
+        of = {s: [(t, i) for k, c, i, t in rows if k == stream and c == s and np.isfinite(t)] for s in "ABC"}
+        groups = []
+        for t, i in of["A"]:
+            near = [min((abs(t - u), u, j) for u, j in of[s]) for s in "BC"]
+            stamps = (t, *[x[1] for x in near])
+            if max(x[0] for x in near) <= 1 and max(stamps) - min(stamps) <= 1:
+                groups.append((max(stamps) - min(stamps), t, i, near[0][2], near[1][2], min(stamps)))
+        best = [{g[k]: g for g in sorted(groups, reverse=True)} for k in (3, 4)]
+        want += [(stream, g[5], g[0], *g[2:5]) for g in groups if best[0][g[3]] == best[1][g[4]] == g]
+    assert sorted(map(tuple, frame.collect())) == sorted(want) and len(want) > 100
