@@ -51,23 +51,29 @@ def gaps_of(rotation: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpacked(packets: DataFrame, names: tuple[str, ...], kernel: Callable[[np.ndarray], tuple]) -> DataFrame:
+def _unpacked(packets: DataFrame, names: tuple[str, ...], kernel: Callable[[np.ndarray], tuple], angles: str | None = None) -> DataFrame:
     """Returns of each packet of (sensor, packet_no, data); packets of another size are left out. kernel takes the blocks of some
-    packets and gives, for each return, its packet's place among them and the columns named."""
-    schema = pa.schema([("sensor", pa.string()), ("packet_no", pa.int64()), *[(c, pa.int32()) for c in names]])
+    packets and gives, for each return, its packet's place among them and the columns named. angles names a struct of a list
+    by laser that a packet may have: each return then also has its laser's, and whether its packet has one."""
+    schema = pa.schema([("sensor", pa.string()), ("packet_no", pa.int64()), *[(c, pa.int32()) for c in names], *([("angle", pa.float64()), ("turned", pa.bool_())] if angles else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, p, x) for s, p, x in zip(*(batch.column(i).to_pylist() for i in range(3))) if x is not None and len(x) == PACKET_BYTES]
+            rows = [row for row in zip(*(c.to_pylist() for c in batch.columns)) if row[2] is not None and len(row[2]) == PACKET_BYTES]
             for at in range(0, len(rows), 256):
-                sensor, number, data = zip(*rows[at : at + 256])
+                sensor, number, data, *more = zip(*rows[at : at + 256])
                 place, *columns = kernel(np.frombuffer(b"".join(data), dtype=DTYPE)["blocks"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(sensor, dtype=object)[place], pa.string()), pa.array(np.array(number, dtype=np.int64)[place]), *[pa.array(x.astype(np.int32)) for x in columns]], schema=schema)
+                out = [pa.array(np.array(sensor, dtype=object)[place], pa.string()), pa.array(np.array(number, dtype=np.int64)[place]), *[pa.array(x.astype(np.int32)) for x in columns]]
+                if angles:
+                    lists = [[*((x and x["angles"]) or ()), *[None] * LASERS][:LASERS] for x in more[0]]
+                    own = pa.array([x for row in lists for x in row], pa.float64())
+                    out += [own.take(pa.array(place * LASERS + columns[names.index("laser_id")])), pa.array(np.array([x is not None for x in more[0]])[place])]
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return packets.select("sensor", "packet_no", "data").mapInArrow(run, "sensor string, packet_no long, " + ", ".join(f"{c} int" for c in names))
+    return packets.select("sensor", "packet_no", "data", *([angles] if angles else [])).mapInArrow(run, "sensor string, packet_no long, " + ", ".join(f"{c} int" for c in names) + (", angle double, turned boolean" if angles else ""))
 
 
-def returns(packets: DataFrame) -> DataFrame:
+def returns(packets: DataFrame, angles: str | None = None) -> DataFrame:
     """RETURNS of the sixteen-laser family, two firings a block. A block with a wrong header ends its packet."""
 
     def kernel(blocks: np.ndarray) -> tuple:
@@ -79,7 +85,7 @@ def returns(packets: DataFrame) -> DataFrame:
         keep = np.broadcast_to(good[:, :, None, None], p.shape)
         return tuple(x[keep] for x in (p, b, f, k, azimuth, *(blocks["returns"][c].reshape(p.shape) for c in ("range", "reflectivity"))))
 
-    return _unpacked(packets, ("block", "firing", "laser_id", "azimuth", "raw", "reflectivity"), kernel)
+    return _unpacked(packets, ("block", "firing", "laser_id", "azimuth", "raw", "reflectivity"), kernel, angles)
 
 
 def bank_returns(packets: DataFrame, sectors: tuple[tuple[int, int], ...] = ((0, 36000),)) -> DataFrame:
@@ -118,9 +124,13 @@ def corrected_intensity(reflectivity: Column, raw: Column, integer_ratio: bool)
     return F.least(F.greatest(value, F.col("min_intensity").cast("double")), F.col("max_intensity").cast("double"))
 
 
-def projected(found: DataFrame, calibration: DataFrame, resolution: float = 0.005, integer_ratio: bool = True, by: tuple[str, ...] = ("sensor", "laser_id")) -> DataFrame:
-    """Returns through a calibration (schemas.CALIBRATION): x, y, z in metres, x ahead; ring, distance, intensity, time."""
-    j = found.join(calibration, list(by))
+def projected(found: DataFrame, calibration: DataFrame, resolution: float = 0.005, integer_ratio: bool = True) -> DataFrame:
+    """Returns through a calibration (schemas.CALIBRATION): x, y, z in metres, x ahead; ring, distance, intensity, time. A row
+    for each laser of each sensor is little, so it goes to the returns, which are neither shuffled nor sorted. Returns that were
+    turned have a vertical angle of their own, in degrees."""
+    j = found.join(F.broadcast(calibration), ["sensor", "laser_id"])
+    if "turned" in found.columns:
+        j = j.withColumn("vert_correction", F.when(F.col("turned"), F.radians("angle")).otherwise(F.col("vert_correction")))
     turn = F.radians(F.col("azimuth") / d(100)) - F.col("rot_correction")
     cos_v, sin_v, cos_r, sin_r = F.cos("vert_correction"), F.sin("vert_correction"), F.cos("_turn"), F.sin("_turn")
     j = j.withColumns({"distance": F.col("raw") * d(resolution) + F.col("dist_correction"), "_turn": turn})
@@ -143,14 +153,13 @@ def decode_banks(packets: DataFrame, calibration: DataFrame, resolution: float =
     return projected(bank_returns(packets, sectors), calibration, resolution, integer_ratio=False).withColumn("time", d(0))
 
 
-def decode_recalibrated(packets: DataFrame, calibration: DataFrame, statuses: DataFrame) -> DataFrame:
+def decode_recalibrated(packets: DataFrame, calibration: DataFrame, statuses: DataFrame, width: float = 60e9) -> DataFrame:
     """As decode, each packet with the vertical angles of its sensor's last status at or before its stamp, or the calibration's
-    where there is none; rings stay what they were. packets: also stamp_ns; statuses: sensor, stamp_ns, angles in degrees."""
-    known = statuses.select("sensor", F.col("stamp_ns").alias("at"), F.col("stamp_ns").alias("version"))
-    dated = as_of(packets.select("sensor", "packet_no", "stamp_ns"), known, "sensor", "stamp_ns", "version").select("sensor", "packet_no", F.coalesce("version", F.lit(-1)).alias("version"))
-    turned = calibration.join(statuses.select("sensor", F.col("stamp_ns").alias("version"), "angles"), "sensor").withColumn("vert_correction", F.radians(F.get("angles", F.col("laser_id"))).cast("double"))
-    versions = turned.select("version", *calibration.columns).union(calibration.select(F.lit(-1).cast("long"), *calibration.columns))
-    return projected(returns(packets).join(dated, ["sensor", "packet_no"]), versions, by=("sensor", "version", "laser_id"))
+    where there is none; rings stay what they were. packets: also stamp_ns; statuses: sensor, stamp_ns, angles in degrees. The
+    packets of a sensor and of width nanoseconds are dated in one task; angles go with them, so no return is shuffled."""
+    known = statuses.select("sensor", F.col("stamp_ns").alias("at"), F.struct(F.col("angles").cast("array<double>").alias("angles")).alias("status"))
+    dated = as_of(packets.select("sensor", "packet_no", "stamp_ns", "data"), known, "sensor", "stamp_ns", "status", width=width)
+    return projected(returns(dated, "status"), calibration)
 
 
 def decode_channels(packets: DataFrame, min_range: float = 0.2, resolution: float = 0.002) -> DataFrame:

@@ -34,3 +34,23 @@ def test_synchronised_makes_no_pairs(spark):
         best = [{g[k]: g for g in sorted(groups, reverse=True)} for k in (3, 4)]
         want += [(stream, g[5], g[0], *g[2:5]) for g in groups if best[0][g[3]] == best[1][g[4]] == g]
     assert sorted(map(tuple, frame.collect())) == sorted(want) and len(want) > 100
+
+
+def raw(spark):
+    return spark.createDataFrame([(str(i % 2), i, 1000 * i, packets.packet(480 * i, 40, 2000)) for i in range(6)], "sensor string, packet_no long, stamp_ns long, data binary")
+
+
+def calibrated(spark):
+    return packets.example_calibration(spark, ("0", "1"))
+
+
+def test_recalibrated_returns_are_not_shuffled(spark):
+    """Angles go with the packets: after the bytes are read nothing is shuffled. A status with too few angles gives null."""
+    statuses = spark.createDataFrame([("0", 2000, [1.0] * 16), ("0", 2000, [2.0] * 16), ("0", 4000, [3.0, None])], "sensor string, stamp_ns long, angles array<double>")
+    frame = packets.decode_recalibrated(raw(spark), calibrated(spark), statuses)
+    assert "hashpartitioning" not in plan_of(frame).split("MapInArrow")[0]
+    got = {(r["packet_no"], r["laser_id"]): r["z"] for r in frame.where("block = 1 AND firing = 1").collect()}
+    assert len(got) == 6 * 16 and frame.count() == 6 * 384
+    at = lambda angle: 10 * np.sin(np.radians(angle))
+    assert np.allclose([got[0, 3], got[1, 3], got[2, 3], got[4, 0], got[5, 15]], [at(-9), at(-9), at(2), at(3), at(15)])
+    assert got[4, 1] is None and got[4, 9] is None
