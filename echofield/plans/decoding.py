@@ -16,7 +16,7 @@ from ..schemas import CALIBRATION
 from ..sources import readers
 from .registry import query
 from .streams import rounded
-from .views import MEAS, meas, table
+from .views import MEAS, meas, spread, table
 
 
 def varied(numbers: pa.Array, banks: bool) -> pa.Array:
@@ -35,7 +35,7 @@ def varied(numbers: pa.Array, banks: bool) -> pa.Array:
 
 def made(spark, sf_dir, banks: bool = False) -> DataFrame:
     keys = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).cast("string").alias("sensor"), F.col("s_suppkey").alias("packet_no"), (F.col("s_suppkey") * 1000).alias("stamp_ns"))
-    return keys.withColumn("data", arrow_udf(lambda n: varied(n, banks), "binary")("packet_no"))
+    return spread(keys, "packet_no").withColumn("data", arrow_udf(lambda n: varied(n, banks), "binary")("packet_no"))
 
 
 def calibration(spark, lasers: int) -> DataFrame:

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame, by: str) -> DataFrame:
+    """The rows in a few tasks for each core, however few files they come from: each is to become hundreds of rows."""
+    return keys.repartition(4 * keys.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of ten frames and three sensors."""
     e = [F.get("embedding", F.lit(i)).cast("double") for i in range(5)]
