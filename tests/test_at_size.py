@@ -50,6 +50,11 @@ def test_bank_returns_are_not_shuffled(spark):
     assert frame.count() == 6 * 12 * 16  # lasers 16 to 31 of the upper bank have no calibration here
 
 
+def test_calibrated_returns_are_not_shuffled(spark):
+    frame = packets.decode(raw(spark), calibrated(spark))
+    assert "Exchange hashpartitioning" not in plan_of(frame) and frame.count() == 6 * 384
+
+
 def test_recalibrated_returns_are_not_shuffled(spark):
     """Angles go with the packets: after the bytes are read nothing is shuffled. A status with too few angles gives null."""
     statuses = spark.createDataFrame([("0", 2000, [1.0] * 16), ("0", 2000, [2.0] * 16), ("0", 4000, [3.0, None])], "sensor string, stamp_ns long, angles array<double>")
