@@ -9,7 +9,7 @@ from ..config import Path, Tracker
 from ..functions import columns as C
 from ..operators import equipment, joins, ordered, packets, serving, windows
 from .registry import query
-from .views import MEAS, REGS, meas, regs, table
+from .views import MEAS, REGS, meas, regs, spread, table
 
 #: Stamps are in hours and values in tens, so the limits are too.
 TRACK = Tracker(good_inliers=40, min_inliers=15, good_rms=0.6, max_rms=0.9, max_jump=60.0, max_speed=30.0, lost_after=3, hold=12.0)
@@ -315,7 +315,7 @@ a AS (SELECT sensor, k, CAST(floor(rot + 40 * ((k * 3.072::DOUBLE + f * 49.152::
 SELECT sensor, count(*) AS n, round(avg(distance), 6) AS distance, round(avg(distance * cos(radians(-15 + 2 * k)) * cos(radians(azimuth / 100::DOUBLE))), 6) AS x, max(azimuth) AS max_azimuth FROM a GROUP BY sensor""")
 def packet_decode(spark, sf_dir):
     """Packets made from events, decoded and projected through a calibration, by counts and sums of each sensor."""
-    made = packets.synthetic(meas(spark, sf_dir).select((F.col("stream") % 3).cast("string").alias("sensor"), F.col("seq").alias("packet_no")))
+    made = packets.synthetic(spread(meas(spark, sf_dir).select((F.col("stream") % 3).cast("string").alias("sensor"), F.col("seq").alias("packet_no")), "packet_no"))
     p = packets.decode(made, packets.example_calibration(spark))
     return p.groupBy("sensor").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 6).alias("distance"), F.round(F.avg("x"), 6).alias("x"), F.max("azimuth").alias("max_azimuth"))
 

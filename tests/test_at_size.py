@@ -1,8 +1,11 @@
 """What larger tables need: plans without a shuffle of returns, and rules at their very limits."""
 
+import re
+
 import numpy as np
 
 from echofield.operators import joins, packets, points
+from echofield.plans import QUERIES
 
 
 def plan_of(frame):
@@ -50,6 +53,13 @@ def test_bank_returns_are_not_shuffled(spark):
     assert frame.count() == 6 * 12 * 16  # lasers 16 to 31 of the upper bank have no calibration here
 
 
+def test_packets_are_spread_and_returns_are_not_shuffled(spark, sf_dir):
+    """However few files the table has, some tasks for each core make the packets."""
+    plan = plan_of(QUERIES["packet_decode"](spark, sf_dir))
+    assert "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan.split("MapInArrow")[-1]
+    assert all("sensor" in x and "laser_id" not in x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE", plan))
+
+
 def test_calibrated_returns_are_not_shuffled(spark):
     frame = packets.decode(raw(spark), calibrated(spark))
     assert "Exchange hashpartitioning" not in plan_of(frame) and frame.count() == 6 * 384
