@@ -31,11 +31,11 @@ SUPPORT, LEAST_PAGES = 0.002, 5
 ERRORS, LIFT = 1.96, 1.0
 #: Of five folds of the labelled pages the one that confirms rules, and how often at most rules that fail are taken out.
 CONFIRMS, ROUNDS = 1, 10
-#: Domains of a host that are tokens besides the host, from the last, and tokens of a page that rules are mined from: those
-#: whose pages are bad most surely. A page has 2 ** TOKENS sets of tokens at most, however long its url is.
-DOMAINS, TOKENS = 8, 12
-#: Tokens that are weighed for that, the most frequent ones.
-WEIGHED = 20_000
+#: Domains of a host that are tokens besides the host, from the last.
+DOMAINS = 8
+#: Up to so many tokens a page, FP-growth finds all sets of them, 2 ** TOKENS a page at most; where a page has more, sets are
+#: found by size, without those that cannot count.
+TOKENS = 12
 BAD = "label=bad"
 
 
@@ -105,33 +105,68 @@ def pruned(found: Iterable[Iterable[str]]) -> Rules:
 
 
 def telling(labelled: DataFrame, least: float) -> DataFrame:
-    """The rows with at most TOKENS of their tokens that `least` rows have: those whose pages are bad most surely."""
-    each = labelled.select(F.explode("tokens").alias("token"), F.col("bad").cast("int").alias("bad"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(WEIGHED).collect()
-    weight = labelled.sparkSession.sparkContext.broadcast({r["token"]: lower_end(r["bad"], r["n"]) for r in often})
+    """The rows with those of their tokens that `least` bad rows have: of tokens that are on the same rows the first, as sets
+    with any other cover the same pages and come later."""
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(k))) for k in range(2)]
+    each = cut(labelled.withColumn("row", F.monotonically_increasing_id())).select("row", F.explode("tokens").alias("token"), F.col("bad").cast("int").alias("bad")).distinct()
+    often = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), *[m.alias(f"m{k}") for k, m in enumerate(marks)]).where(F.col("bad") >= least)
+    chosen = {r["token"] for r in often.groupBy("n", "m0", "m1").agg(F.min("token").alias("token")).collect()}
+    shared = labelled.sparkSession.sparkContext.broadcast(chosen)
 
-    def best(tokens: pa.Array) -> pa.Array:
-        known = weight.value
-        return pa.array([sorted((t for t in row if t in known), key=lambda t: (-known[t], t))[:TOKENS] for row in tokens.to_pylist()], pa.list_(pa.string()))
+    def known(tokens: pa.Array) -> pa.Array:
+        return pa.array([sorted(shared.value.intersection(row)) for row in tokens.to_pylist()], pa.list_(pa.string()))
 
-    return labelled.select(arrow_udf(best, "array<string>")("tokens").alias("tokens"), "bad")
+    return labelled.select(arrow_udf(known, "array<string>")("tokens").alias("tokens"), "bad")
+
+
+def by_growth(found: DataFrame, least: float, share: float) -> dict[frozenset[str], tuple[int, int]]:
+    """Bad pages and pages of the sets that FP-growth finds."""
+    items = cut(found.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0))
+    # The share of bad pages that a rule needs is at least that of all, so no other has to leave the executors.
+    total = items.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, total)), minConfidence=share).fit(items)
+    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support").collect()
+    return {frozenset(r["antecedent"]): (r["support"] * total, r["support"] * total / r["confidence"]) for r in rules}
+
+
+def by_size(found: DataFrame, least: float, share: float) -> dict[frozenset[str], tuple[int, int]]:
+    """The same without sets that a smaller one makes needless, however many tokens pages have: one on the same pages, or one
+    whose pages are all bad. Such a smaller set is surer or as sure, so no page is left for the larger one. What holds a
+    needless set is needless too, so sets grow from the others only, by the tokens of the pages that hold them."""
+    out, counts, open_ = {}, {}, None
+    while open_ is None or open_:
+        shared = found.sparkSession.sparkContext.broadcast(None if open_ is None else Rules(open_))
+
+        def grown(tokens: pa.Array) -> pa.Array:
+            rules, rows = shared.value, []
+            for row in tokens.to_pylist():
+                held = [()] if rules is None else [sorted(rules.sets[i]) for i in rules.of(set(row))]
+                rows.append([[*x, t] for x in held for t in row if not x or t > x[-1]])
+            return pa.array(rows, pa.list_(pa.list_(pa.string())))
+
+        sets = found.select(F.explode(arrow_udf(grown, "array<array<string>>")("tokens")).alias("x"), "bad")
+        often = sets.groupBy("x").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).where(F.col("bad") >= least).collect()
+        before, counts = counts, {frozenset(r["x"]): (r["bad"], r["n"]) for r in often}
+        # Those whose parts all have more pages; a part that is not there was needless or rare.
+        free = {x: c for x, c in counts.items() if len(x) == 1 or all(before.get(x - {t}, (0, 0))[1] > c[1] for t in x)}
+        out |= {x: (bad, n) for x, (bad, n) in free.items() if bad >= share * n}
+        counts = {x: c for x, c in free.items() if c[0] < c[1]}
+        open_ = list(counts)
+    return out
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, errors: float = ERRORS) -> Rules:
-    """From (page_id, tokens, bad): all labelled pages count, a fifth of them to confirm. Without bad pages there is no rule. The
-    number of rules is bounded by the support, as a page adds to 2 ** TOKENS sets at most."""
+    """From (page_id, tokens, bad): all labelled pages count, a fifth of them to confirm. Without bad pages there is no rule. All
+    sets of tokens that enough bad pages have are weighed."""
     rows = cut(labelled.select(F.coalesce(fold(F.col("page_id")) == CONFIRMS, F.lit(False)).alias("confirms"), "tokens", F.coalesce("bad", F.lit(False)).alias("bad")))
     n, bad = rows.where("NOT confirms").agg(F.count("*"), F.count_if("bad")).first()
     least = max(LEAST_PAGES, support * n)
     if not bad or n < least:
         return Rules([])
-    found = telling(rows.where("NOT confirms").select("tokens", "bad"), least)
-    items = cut(found.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0))
-    # The share of bad pages that a rule needs is at least that of all, so no other has to leave the executors.
-    total = items.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, total)), minConfidence=bad / n).fit(items)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence", "support").collect()
-    lows = {frozenset(r["antecedent"]): lower_end(r["support"] * total, r["support"] * total / r["confidence"], errors) for r in rules}
+    found = cut(telling(rows.where("NOT confirms").select("tokens", "bad"), least))
+    most = found.agg(F.max(F.size("tokens"))).first()[0]
+    counts = (by_growth if most <= TOKENS else by_size)(found, least, bad / n)
+    lows = {x: lower_end(*c, errors) for x, c in counts.items()}
     sure = sorted((x for x, low in lows.items() if low > lift * bad / n), key=lambda x: (-lows[x], len(x), sorted(x)))
     return pruned(upheld(rows, sure, lift, errors))
 
