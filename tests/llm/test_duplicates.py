@@ -204,6 +204,67 @@ def test_passages_do_not_depend_on_partitions(spark, monkeypatch):
     assert len(pairs) > 100 and all(class_of[a] == class_of[b] for a, b in pairs)
 
 
+def test_alike_passages_between_the_ends_are_linked(spark):
+    """The passages of 100 and 300 differ in a word; every seed of theirs stands in documents before and after them as well, by
+    themselves and in lines that share no passage."""
+    passage = [f"p{i}" for i in range(60)]
+    other = [*passage[:31], "changed", *passage[32:]]
+    pieces = [passage[i : i + 26] for i in range(0, 31, 5)] + [passage[i : i + 26] for i in (32, 34)]
+    texts = {first + i: [*(f"a{first + i}x{k}" for k in range(40)), *piece, *(f"b{first + i}x{k}" for k in range(40))] for first in (1, 401) for i, piece in enumerate(pieces)}
+    texts |= {i: [*(f"c{i}x{k}" for k in range(70)), *own, *(f"d{i}x{k}" for k in range(70))] for i, own in ((100, passage), (300, other))}
+    d = documents(spark, [(i, " ".join(t), "en", "a") for i, t in sorted(texts.items())])
+    for n in (1, 5):
+        got = passages.repeated_passages(d.repartition(n, "doc_id")).collect()
+        assert [(r["doc_id"], r["ref_doc_id"], r["start"], r["end"], r["ref_start"], r["ref_end"]) for r in got] == [(300, 100, 70, 130, 70, 130)]
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    """Texts of edited pieces of few books, against chains and alignments of all pairs."""
+    rng = random.Random(11)
+    books = [prose(rng, 90) for _ in range(5)]
+
+    def edited():
+        book = rng.choice(books)
+        a = rng.randrange(40)
+        piece = book[a : a + rng.randrange(24, 90)]
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = f"new{rng.randrange(10**6)}"
+        return piece
+
+    texts = [sum((edited() + prose(rng, 20) for _ in range(rng.randrange(1, 3))), prose(rng, 20)) for _ in range(70)]
+    hashed = [passages.Texts([" ".join(t).encode()]) for t in texts]
+    found = [(h, at) for h, at in map(passages.seeds, hashed)]
+    edges = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            p, q = (np.array(x) for x in zip(*[(a, b) for h, a in zip(*found[i]) for g, b in zip(*found[j]) if h == g] or [(0, 0)]))
+            for chain in passages.chains(p, q) if len(p) > 1 else ():
+                edges |= {(j, i) for _ in passages.passages_of(*passages.align(hashed[i].words, hashed[j].words, chain))}
+    top = classes(len(texts), edges)
+    got = {r["doc_id"]: r["class_id"] for r in passages.classes(passages.repeated_passages(documents(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]))).collect()}
+    assert len(edges) > 40 and len(set(top)) > 5
+    assert all(got.get(i) == got.get(j) is not None for j, i in edges)
+
+
+def test_alike_passages_share_a_core():
+    """One or more breaks of any kind at the least similarity: some core about a kept seed is the same."""
+    rng = random.Random(4)
+    alike, every = 0, np.full(1 << 10, 255, np.uint8)
+    for _ in range(3000):
+        x = prose(rng, rng.randrange(50, 130))
+        y = list(x)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.choice((0, 1, 1, 2))] = prose(rng, rng.choice((0, 1, 1, 2)))
+        p, q = zip(*passages.gap_matches(passages.word_hashes(" ".join(x).encode()), passages.word_hashes(" ".join([*y, "end"]).encode())))
+        if not list(passages.passages_of(np.array(p), np.array(q))):
+            continue
+        alike += 1
+        a, b = (passages.cores(passages.Texts([" ".join([*prose(rng, 30), *t, *prose(rng, 30)]).encode()]), every)[0] for t in (x, y))
+        assert set(a.tolist()) & set(b.tolist())
+    assert alike > 300
+
+
 def test_links_by_brute_force():
     """Chunks of any size, against the first and last holder of each hash in other texts."""
     rng = random.Random(3)
