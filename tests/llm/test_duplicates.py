@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from echofield.llm import components, passages, simhash
+from echofield.llm.common import cut, remove, stored
 
 from .conftest import documents
 
@@ -265,6 +267,44 @@ def test_alike_passages_share_a_core():
     assert alike > 300
 
 
+def test_runs_of_one_word_pair_only_what_is_alike():
+    """Texts that share a run of one word and nothing else have no core in common, so n of them are no n * n pairs; those that
+    share a passage with runs have one, or else fifty words."""
+    rng = random.Random(6)
+    every, of = np.full(1 << 10, 255, np.uint8), lambda words: passages.Texts([" ".join(words).encode()])
+    keys = [set(passages.cores(of([*prose(rng, 60), *["of"] * 31, *prose(rng, 60)]), every)[0].tolist()) for _ in range(30)]
+    assert all(keys) and not any(a & b for i, a in enumerate(keys) for b in keys[:i])
+    alike = 0
+    for _ in range(500):
+        x = [w for _ in range(rng.randrange(2, 7)) for w in [rng.choice("abcdefgh")] * rng.choice((1, 2, 9, 21, 26, 31, 36, 44))]
+        y = list(x)
+        for _ in range(rng.randrange(1, 3)):
+            k = rng.randrange(len(y))
+            y[k : k + rng.choice((0, 1, 1, 2))] = prose(rng, rng.choice((0, 1, 1, 2)))
+        x, y = ([*prose(rng, 30), *t, *prose(rng, 30)] for t in (x, y))
+        if not (pairs := passages.gap_matches(of(x).words, of(y).words)) or not list(passages.passages_of(*map(np.array, zip(*pairs)))):
+            continue
+        windows = [{tuple(t[i : i + 50]) for i in range(len(t) - 49)} for t in (x, y)]
+        alike += not windows[0] & windows[1]
+        assert windows[0] & windows[1] or set(passages.cores(of(x), every)[0].tolist()) & set(passages.cores(of(y), every)[0].tolist())
+    assert alike > 20
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step dealt out goes when the step is written, whether or not the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in f}
+    before = files()
+    kept = cut(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    rows, folder = stored(kept.repartition(3, "k"))
+    for _ in range(50):  # they are dropped in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == rows.count() == 10
+    remove(spark, folder)
+
+
 def test_links_by_brute_force():
     """Chunks of any size, against the first and last holder of each hash in other texts."""
     rng = random.Random(3)
